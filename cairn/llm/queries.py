@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, tokens
+from . import decontam, neardup, pieces, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,17 @@ def op7_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.stored(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op8_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
 QUERIES = {
     "op5_hyperminhash": op5_hyperminhash,
     "op6_suffix_automaton": op6_suffix_automaton,
     "op7_token_lists": op7_token_lists,
+    "op8_viterbi_pieces": op8_viterbi_pieces,
 }
 
 SQL: dict[str, str] = {}
