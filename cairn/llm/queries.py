@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, pieces, tokens
+from . import decontam, fingerprint, neardup, pieces, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(_table(spark, sf_dir, "documents"))
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -31,11 +35,17 @@ def op8_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
 
 
+def op9_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assigned(_table(spark, sf_dir, "documents"), sharding.SHARD_BYTES)
+
+
 QUERIES = {
+    "op2_multiset_hash": op2_multiset_hash,
     "op5_hyperminhash": op5_hyperminhash,
     "op6_suffix_automaton": op6_suffix_automaton,
     "op7_token_lists": op7_token_lists,
     "op8_viterbi_pieces": op8_viterbi_pieces,
+    "op9_extendible_hashing": op9_extendible_hashing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_extendible_hashing": sharding.sql()}
