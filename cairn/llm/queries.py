@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, neardup, pieces, sharding, tokens
+from . import decontam, fingerprint, langid, neardup, pieces, pii, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(_table(spark, sf_dir, "documents"))
 
 
+def op3_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified_tables(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+
+
+def op4_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(_table(spark, sf_dir, "documents"))
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,8 @@ def op9_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_multiset_hash": op2_multiset_hash,
+    "op3_evidence_fusion": op3_evidence_fusion,
+    "op4_skip_chain": op4_skip_chain,
     "op5_hyperminhash": op5_hyperminhash,
     "op6_suffix_automaton": op6_suffix_automaton,
     "op7_token_lists": op7_token_lists,
