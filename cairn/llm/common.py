@@ -95,21 +95,19 @@ def bitmap(ids: DataFrame, bits: int = BITS):
     return out
 
 
-def passes(df: DataFrame, name: str, filter_bits, bits: int = BITS) -> DataFrame:
-    """Rows whose id may be in the bitmap: all that are, and a few more."""
-    import numpy as np
-    import pyarrow as pa
+def probed(df: DataFrame, name: str, bits: int = BITS) -> DataFrame:
+    """``df``, without null ids, and the places that the bitmap has for each id."""
+    return df.where(F.col(name).isNotNull()).select("*", *[F.shiftrightunsigned(F.xxhash64(F.col(name), F.lit(k)), 64 - bits).alias(f"_p{k}") for k in range(3)])
 
-    held, columns = df.sparkSession.sparkContext.broadcast(np.asarray(filter_bits)), df.columns
-    probe = [F.shiftrightunsigned(F.xxhash64(F.col(name), F.lit(k)), 64 - bits).alias(f"_p{k}") for k in range(3)]
 
-    def keep(batches):
-        words = held.value
-        for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for k in range(3):
-                p = batch.column(batch.schema.get_field_index(f"_p{k}")).to_numpy(zero_copy_only=False).astype(np.int64)
-                ok &= (words[p >> 6] >> (p & 63)) & 1 == 1
-            yield batch.select(columns).filter(pa.array(ok))
+def passing(batches, words):
+    """Of probed rows, those whose id may be in the bitmap: all that are, and a few more."""
+    import numpy as np
+    import pyarrow as pa
 
-    return df.where(F.col(name).isNotNull()).select("*", *probe).mapInArrow(keep, df.schema)
+    for batch in batches:
+        ok = np.ones(batch.num_rows, bool)
+        for k in range(3):
+            p = batch.column(batch.schema.get_field_index(f"_p{k}")).to_numpy(zero_copy_only=False).astype(np.int64)
+            ok &= (words[p >> 6] >> (p & 63)) & 1 == 1
+        yield batch.filter(pa.array(ok))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import bitmap, linked, passes, ship, small, text_of, written
+from .common import bitmap, linked, passing, probed, ship, small, text_of, written
 
 #: 64 buckets; each register holds 6 bits of leading-zero count and 10 bits of mantissa.
 BUCKET_BITS, MANTISSA_BITS = 6, 10
@@ -73,17 +73,22 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
-    """node, items (its ascending shingle hashes as bytes) for the documents among nodes, and perhaps some more."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = 5, flat: bool = False) -> DataFrame:
+    """node, items (its ascending shingle hashes as bytes) for the documents among nodes, and perhaps some more; flat: a row for each item."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))
 
     def run(batches):
-        for batch in tx.slices(batches):
+        for batch in tx.slices(passing(batches, held.value)):
             values, start = _shingles(batch.column(1), width)
-            data = values.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["node", "items"])
+            if flat:
+                node = np.repeat(batch.column(0).to_numpy(), np.diff(start))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(values.view(np.int64))], names=["node", "item"])
+            else:
+                data = values.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["node", "items"])
 
-    docs = docs.select("doc_id", text_of(docs).alias("text"))
-    return passes(docs, "doc_id", bitmap(nodes)).mapInArrow(run, "node long, items binary")
+    docs = probed(docs.select("doc_id", text_of(docs).alias("text")), "doc_id")
+    return docs.mapInArrow(run, "node long, item long" if flat else "node long, items binary")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -168,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     split = rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
     mixed = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     split = written(split.join(mixed, "key"), "split")
-    lone = written(_lone(shingle_sets(docs, split.select("node").distinct(), width)), "lone")
+    lone = written(_lone(shingle_sets(docs, split.select("node").distinct(), width, flat=True)), "lone")
     split = split.join(lone, "node", "left").select("key", "node", "n", "part", F.coalesce("lone", F.lit(0)).alias("lone")).where(f"{den} * (n - lone) >= {num} * n")
     x, y = (split.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part", "lone")]) for k in "xy")
     rest = (
@@ -187,18 +192,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _lone(sets: DataFrame) -> DataFrame:
-    """node, lone: how many of its shingles no other of these nodes has."""
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                part = b.slice(at, 5000)
-                items = part.column(1).to_pylist()
-                node = np.repeat(part.column(0).to_numpy(), [len(v) // 8 for v in items])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.frombuffer(b"".join(items), np.int64))], names=["node", "item"])
-
-    items = sets.mapInArrow(run, "node long, item long")
+def _lone(items: DataFrame) -> DataFrame:
+    """node, lone: how many of its items no other of these nodes has."""
     once = items.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
     return once.groupBy("node").agg(F.count("*").alias("lone"))
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; bounds the memory of the 64-bit intermediates.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
