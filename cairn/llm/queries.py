@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, neardup, pieces, pii, sharding, tokens
+from . import decontam, fingerprint, langid, neardup, pieces, pii, quality, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op9_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cotraining": op1_cotraining,
     "op2_multiset_hash": op2_multiset_hash,
     "op3_evidence_fusion": op3_evidence_fusion,
     "op4_skip_chain": op4_skip_chain,
