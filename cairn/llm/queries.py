@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, neardup, pieces, pii, quality, sharding, tokens
+from . import decontam, fingerprint, langid, neardup, passages, pieces, pii, quality, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(_table(spark, sf_dir, "documents"), sharding.SHARD_BYTES)
 
 
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_cotraining": op1_cotraining,
     "op2_multiset_hash": op2_multiset_hash,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_token_lists": op7_token_lists,
     "op8_viterbi_pieces": op8_viterbi_pieces,
     "op9_extendible_hashing": op9_extendible_hashing,
+    "op10_compact_windows": op10_compact_windows,
 }
 
 SQL: dict[str, str] = {"op9_extendible_hashing": sharding.sql()}
