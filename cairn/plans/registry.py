@@ -8,3 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The driver tables of one folder as attributes; reading is lazy, so a query scans the columns that it uses."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def register(name: str, sql: str | None = None):
+    """Register a function of Tables as a query, with its SQL where there is one."""
+
+    def wrap(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return wrap
+
+
+# the modules register their queries when they are imported
+from cairn.plans import check_queries, decode_queries, graph_queries, lookup_queries, review_queries  # noqa: E402, F401
