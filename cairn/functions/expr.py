@@ -26,9 +26,17 @@ def matches(c: Column, query: str, mode: str) -> Column:
     return c == query if mode == "exact" else contains(c, query)
 
 
+#: Characters that JSON text escapes with a letter.
+_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+
+
 def json_text(c: Column, kind: str) -> Column:
-    """A JSON fragment of a string, number or boolean column; null becomes null."""
-    text = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"')) if kind == "string" else c.cast("string")
+    """A JSON fragment of a string, number or boolean column; null becomes null.  Non-ASCII characters stay as they are."""
+    text = c.cast("string")
+    if kind == "string":
+        for plain, escaped in _ESCAPES:
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        text = F.concat(F.lit('"'), text, F.lit('"'))
     return F.coalesce(text, F.lit("null"))
 
 

@@ -71,10 +71,10 @@ def _flows(t: Tables) -> DataFrame:
     return t.events.select(F.col("event_id").alias("use_id"), F.col("user_id").alias("procedure_id"), (F.floor("value") % 50).alias("site_id"), F.col("event_type").alias("role"), F.when(F.col("event_id") % 3 == 0, "indirect").otherwise("unique_procedure").alias("target_kind"))
 
 
-@register("flow_intersection", "SELECT event_id AS use_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 480) AND floor(value) % 50 IN (SELECT floor(value) % 50 FROM events WHERE event_type = 'error' AND user_id = 8)")
+@register("flow_intersection", "SELECT event_id AS use_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 300) AND floor(value) % 50 IN (SELECT floor(value) % 50 FROM events WHERE event_type = 'error' AND user_id = 8)")
 def flow_intersection(t):
     f = _flows(t)
-    procedures = t.events.where("event_type = 'purchase' AND value > 480").select(F.col("user_id").alias("procedure_id"))
+    procedures = t.events.where("event_type = 'purchase' AND value > 300").select(F.col("user_id").alias("procedure_id"))
     return lookup.intersection(f, procedures, f.where("role = 'error' AND procedure_id = 8").select("site_id")).select("use_id")
 
 
