@@ -21,8 +21,10 @@ TARGETS = ("quality", "toxic")
 SAMPLE, HELD = 12_000, 0.25
 #: Rounds of co-training, and how many pseudo-labels of each class a view passes on in a round, at most.
 ROUNDS, PASSED = 2, 200
-#: A view is confident enough to pass a label on from this calibrated probability.
-CONFIDENT = 0.95
+#: A view is confident enough to pass a label on from this calibrated probability, if its
+#: log-odds are also this much above the class's base rate: a view that knows little is
+#: always sure of a common class.
+CONFIDENT, LIFT = 0.95, 2.0
 
 
 def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ class Logistic:
     each would fit that noise.
     """
 
-    CHI, TELLING = 9.0, 2000
+    CHI, TELLING = 20.0, 2000
 
     def __init__(self, cells: int):
         self.cells, self.bias, self.scale, self.shift = cells, 0.0, 1.0, 0.0
@@ -230,7 +232,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
 
     Co-training.  Both views are fitted on the labelled sample.  In each round
     they score all documents without a label; each view's surest, up to PASSED
-    of each class and CONFIDENT at least, become training rows of the *other*
+    of each class, CONFIDENT at least and LIFT above the base rate, become training rows of the *other*
     view, with their features.  After the last round the views are calibrated
     on held-out labelled rows and combined.  ``kept``: quality at least a half
     and toxic below it.
@@ -274,7 +276,8 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
             for view, other in (("text", "meta"), ("meta", "text")):
                 for y in (0, 1):
                     p = F.col(f"{view}_{t}") if y else 1 - F.col(f"{view}_{t}")
-                    for r in probs.where((p >= CONFIDENT) & F.col("doc_id").isNotNull()).orderBy(p.desc(), "doc_id").select("doc_id").limit(PASSED).collect():
+                    least = max(CONFIDENT, float(1 / (1 + np.exp(-(bases[t] if y else -bases[t]) - LIFT))))
+                    for r in probs.where((p >= least) & F.col("doc_id").isNotNull()).orderBy(p.desc(), "doc_id").select("doc_id").limit(PASSED).collect():
                         picked.setdefault(r["doc_id"], []).append((t, other, y))
         if not picked:
             break
