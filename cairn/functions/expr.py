@@ -82,3 +82,8 @@ def utc_text(c: Column) -> Column:
 def signed(value: Column, bits: int) -> Column:
     """The two's-complement value of the low ``bits`` bits."""
     return F.when(value >= 1 << (bits - 1), value - (1 << bits)).otherwise(value)
+
+
+def relative_path(p: Column) -> Column:
+    """Whether a path is relative and plain: no empty, dot or dot-dot part, backslash or colon."""
+    return (F.length(p) > 0) & ~p.startswith("/") & ~F.contains(p, F.lit("//")) & ~p.rlike(r"(^|/)\.\.?(/|$)") & ~F.contains(p, F.lit("\\")) & ~F.contains(p, F.lit(":"))

@@ -109,3 +109,25 @@ def variant_disagreement(calls: DataFrame, declarations: DataFrame) -> DataFrame
     """Calls whose variant is none of those that their name's declarations have."""
     said = declarations.groupBy("path", "name").agg(F.collect_set("variant").alias("variants"))
     return calls.join(said, ["path", "name"]).where(~F.array_contains("variants", F.col("variant"))).select(*calls.columns, F.array_join(F.array_sort("variants"), ",").alias("declared_variants"))
+
+
+def scans(procedures: DataFrame, low: int, high: int) -> DataFrame:
+    """Procedures (procedure_id, va, size) with what a scan of their words covers, and its status."""
+    va, size = F.col("va"), F.col("size")
+    mapped = va.isNotNull() & (va >= low) & (va < high)
+    scanned = F.when(mapped, F.least(size - size % 4, F.lit(high) - va)).otherwise(F.lit(0))
+    status = (
+        F.when(va.isNull(), "unresolved_va")
+        .when(~mapped, "unmapped_va")
+        .when(size == 0, "empty")
+        .when(va + size > high, "truncated_raw_extent")
+        .when(size % 4 != 0, "unaligned_size")
+        .otherwise("ok")
+    )
+    return procedures.select(*procedures.columns, scanned.alias("scanned_size"), (size - scanned).alias("unscanned_byte_count"), status.alias("status"))
+
+
+def words_of(procedures: DataFrame) -> DataFrame:
+    """The word addresses of each procedure's scanned extent: a procedure makes as many rows as it has words."""
+    some = procedures.where("scanned_size >= 4")
+    return some.select("procedure_id", "va", "size", F.explode(F.sequence(F.col("va"), F.col("va") + F.col("scanned_size") - 4, F.lit(4).cast("long"))).alias("address"))

@@ -82,3 +82,16 @@ def resolved_names(claims: DataFrame, functions: DataFrame) -> DataFrame:
     n = functions.groupBy("name").agg(F.count("*").alias("function_count"), F.min("function_id").alias("first_function_id"))
     j = claims.select("address", "name").distinct().join(n, "name", "left").withColumn("function_count", F.coalesce("function_count", F.lit(0)))
     return j.withColumn("resolution", F.when(F.col("function_count") == 1, "unique").when(F.col("function_count") > 1, "ambiguous").otherwise("unresolved"))
+
+
+def resolved_many(requests: DataFrame, types: DataFrame) -> DataFrame:
+    """A row for every request, repeated ones too, with its type's rendering and status."""
+    j = requests.join(types.select("type_index", "rendered"), "type_index", "left")
+    return j.withColumn("status", F.when(F.col("rendered").isNull(), "missing_type_record").otherwise("resolved"))
+
+
+def candidate_report(units: list[tuple[str, DataFrame]], leaves: DataFrame, reviewer_id) -> DataFrame:
+    """Claims, sets and alternatives as separate rows, each with one reviewer's current leaf if there is one."""
+    parts = [df.withColumn("target_kind", F.lit(kind)) for kind, df in units]
+    own = leaves.where(F.col("reviewer_id") == F.lit(reviewer_id)).select("target_id", "derived_status")
+    return reduce(lambda a, b: a.unionByName(b), parts).join(own, "target_id", "left")

@@ -67,3 +67,16 @@ def manifest(entries: DataFrame) -> DataFrame:
 
 def producers_of(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(joined(F.collect_set("producer")).alias("producers"))
+
+
+def lineage(components: DataFrame, required) -> DataFrame:
+    """Targets with their provenance components: whether each kind has one of the required manifest, and so all have."""
+    per = components.groupBy("target_id", "component_kind").agg(F.coalesce(F.bool_or(F.col("manifest_id") == F.lit(required)), F.lit(False)).alias("ok"))
+    return per.groupBy("target_id").agg(F.count("*").alias("component_count"), F.bool_and("ok").alias("compatible"), joined(F.collect_set(F.when(~F.col("ok"), F.col("component_kind")))).alias("incompatible"))
+
+
+def row_digests(rows: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
+    """A digest of each group's rows in order, every value with its length before it, so no two row streams share a text."""
+    text = F.concat_ws("", *[F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")) for c in (F.coalesce(F.col(n).cast("string"), F.lit("")) for n in columns)])
+    g = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("_text")))).alias("r"))
+    return g.select(by, F.size("r").cast("long").alias("row_count"), F.sha2(F.array_join(F.transform("r", lambda x: x["_text"]), ""), 256).alias("digest"))

@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 
 
 # the modules register their queries when they are imported
-from cairn.plans import check_queries, decode_queries, graph_queries, lookup_queries, review_queries  # noqa: E402, F401
+from cairn.plans import check_queries, decode_queries, graph_queries, lookup_queries, more_queries, review_queries  # noqa: E402, F401
