@@ -12,7 +12,7 @@ from cairn.functions.expr import joined, matches, reasons
 
 def named(rows: DataFrame, columns: list[str], query: str, mode: str = "exact") -> DataFrame:
     """Rows of which one of the columns matches; each row once."""
-    return rows.where(reduce(lambda a, b: a | b, [F.coalesce(matches(F.col(c), query, mode), F.lit(False)) for c in columns]))
+    return rows.where(reduce(lambda a, b: a | b, [matches(F.col(c), query, mode) for c in columns]))
 
 
 def arms(found: list[DataFrame]) -> DataFrame:

@@ -16,9 +16,9 @@ def checked(limit: int, offset: int = 0) -> None:
 def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     """Rows offset + 1 to offset + limit in a total order, each with the total before paging and has_more."""
     checked(limit, offset)
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*").alias("total")).scalar()
     rows = df.orderBy(*order).offset(offset).limit(limit)
-    return rows.join(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
+    return rows.withColumn("total", total).withColumn("has_more", F.col("total") > offset + limit)
 
 
 def page_per_parent(df: DataFrame, parent: list[str], order: list, limit: int, offset: int = 0) -> DataFrame:
