@@ -122,7 +122,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
                 both = np.bincount(pair[1:][(values[1:] == values[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
                 yield part.select(["a", "b"]).filter(pa.array(den * both >= num * (nx + ny - both)))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = shingle_sets(docs, ends, width)
     side = lambda k: sets.select(F.col("node").alias(k), F.col("items").alias(f"i{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     nodes = written(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig")), "nodes")
 
     keys = F.array(*[F.when(F.substring("sig", 2 * BAND * b + 1, 2 * BAND) != F.lit(b"\xff" * 2 * BAND), F.xxhash64(F.substring("sig", 2 * BAND * b + 1, 2 * BAND), F.lit(b))) for b in range(REGISTERS // BAND)])
-    rows = nodes.select("node", "n", F.explode(keys).alias("key")).where("key IS NOT NULL")
+    rows = nodes.select("node", "n", F.posexplode(keys).alias("band", "key")).where("key IS NOT NULL")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = written(rows.join(shared, "key"), "bands")
     fame = rows.groupBy("node").agg(F.sum("size").alias("fame"))
@@ -170,14 +170,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     parts = written(linked(edges), "parts")
 
     # what shares a band but no component yet
-    split = rows.join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+    split = rows.join(parts, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("part"))
     mixed = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     split = written(split.join(mixed, "key"), "split")
     lone = written(_lone(shingle_sets(docs, split.select("node").distinct(), width, flat=True)), "lone")
-    split = split.join(lone, "node", "left").select("key", "node", "n", "part", F.coalesce("lone", F.lit(0)).alias("lone")).where(f"{den} * (n - lone) >= {num} * n")
-    x, y = (split.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part", "lone")]) for k in "xy")
+    split = split.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).where(f"{den} * (n - lone) >= {num} * n")
+    split = written(split.join(nodes.select("node", keys.alias("keys")), "node"), "split")
+    x, y = (split.select("key", "band", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part", "lone", "keys")]) for k in "xy")
+    y = y.drop("band")
+    again = "coalesce(arrays_overlap(slice(keys_x, 1, band), slice(keys_y, 1, band)), false)"  # in an earlier band of theirs
     rest = (
-        x.join(y, (x["key"] == y["key"]) & F.expr(f"node_x > node_y AND part_x <> part_y AND {den} * least(n_x - lone_x, n_y - lone_y) >= {num} * (greatest(n_x - lone_x, n_y - lone_y) + lone_x + lone_y)"))
+        x.join(y, (x["key"] == y["key"]) & F.expr(f"NOT {again} AND node_x > node_y AND part_x <> part_y AND {den} * least(n_x - lone_x, n_y - lone_y) >= {num} * (greatest(n_x - lone_x, n_y - lone_y) + lone_x + lone_y)"))
         .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
         .distinct()
     )
