@@ -262,24 +262,50 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     return hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _without(text: str, spans: np.ndarray) -> str:
+    """The text without the characters from the first to the last word of each span (rows of start and end)."""
+    data, off = tx.raw(pa.array([text], pa.string()))
+    starts, ends, _ = tx.spans(tx.LOWER[data], off, tx.ALNUM)
+    keep, at = [], 0
+    for s, e in spans:
+        keep.append(data[at : starts[s]].tobytes())
+        at = ends[e - 1]
+    return b"".join([*keep, data[at:].tobytes()]).decode()
+
+
+def _clean_column(block: list[tuple], width: int, text: Column) -> Column:
+    """struct(n_words, n_hit, clean): clean is the text without its hit spans, null where there are none."""
+    key = hash((width, tuple(block)))
+
+    def run(column: pa.Array) -> pa.Array:
+        matcher = _matcher(key, block, width)
+        words, hits, clean = [], [], []
+        for piece in tx.slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])])):
+            word, first = tx.words(piece.column(0), tx.ALNUM)
+            hit, _ = matcher.hits(word, first)
+            total = np.append(0, np.cumsum(hit, dtype=np.int64))[first]
+            words.append(np.diff(first))
+            hits.append(np.diff(total))
+            for i in range(piece.num_rows):
+                if total[i + 1] == total[i]:
+                    clean.append(None)
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[i] : first[i + 1]].astype(np.int8), [0]])))
+                clean.append(_without(piece.column(0)[i].as_py(), edge.reshape(-1, 2)))
+        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.StructArray.from_arrays([flat(words), flat(hits), pa.array(clean, pa.string())], names=["n_words", "n_hit", "clean"])
+
+    return F.arrow_udf(run, "struct<n_words:bigint,n_hit:bigint,clean:string>")(text)
+
+
 def _cut_column(text: Column, spans: Column) -> Column:
-    """The text without the characters from the first to the last word of each span."""
+    """The text without its spans."""
 
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for t, s in zip(texts, spans, strict=True):
             s = s.as_py()
-            if s:
-                one = pa.array([t.as_py()], pa.string())
-                data, off = tx.raw(one)
-                starts, ends, _ = tx.spans(tx.LOWER[data], off, tx.ALNUM)
-                keep, at = [], 0
-                for x in s:
-                    keep.append(data[at : starts[x["start"]]].tobytes())
-                    at = ends[x["end"] - 1]
-                out.append(b"".join([*keep, data[at:].tobytes()]).decode())
-            else:
-                out.append(t.as_py())
+            out.append(_without(t.as_py(), np.array([(x["start"], x["end"]) for x in s])) if s else None)
         return pa.array(out, pa.string())
 
     return F.arrow_udf(run, "string")(text, spans)
@@ -289,13 +315,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, most:
     """Documents without their hit spans; a document with more than ``most`` of its words hit goes.
 
     All columns of ``docs``; n_chars, if there is one, is counted again.  A
-    document without hits is unchanged.
+    document without hits is unchanged.  With a benchmark of one block, texts
+    go to Python once.
     """
-    hit = hits(docs, benchmark, width, "_hit")
-    n_hit = F.aggregate("_hit.spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-    hit = hit.where(n_hit <= F.lit(most) * F.col("_hit.n_words"))
-    text = F.when(F.size("_hit.spans") > 0, _cut_column(text_of(hit), F.col("_hit.spans"))).otherwise(F.col("text"))
-    out = hit.withColumn("text", text)
+    ship(docs.sparkSession)
+    blocks = _blocks(benchmark)
+    if len(blocks) == 1:
+        hit = docs.withColumn("_hit", _clean_column(blocks[0], width, text_of(docs)))
+    else:
+        hit = hits(docs, benchmark, width, "_hit")
+        n_hit = F.aggregate("_hit.spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
+        hit = hit.withColumn("_hit", F.struct(F.col("_hit.n_words").alias("n_words"), n_hit.alias("n_hit"), _cut_column(text_of(hit), F.col("_hit.spans")).alias("clean")))
+    hit = hit.where(F.col("_hit.n_hit") <= F.lit(most) * F.col("_hit.n_words"))
+    changed = F.col("_hit.n_hit") > 0
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_hit.spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        hit = hit.withColumn("n_chars", F.when(changed, F.length("_hit.clean").cast("long")).otherwise(F.col("n_chars")))
+    return hit.withColumn("text", F.when(changed, F.col("_hit.clean")).otherwise(F.col("text"))).select(docs.columns)

@@ -7,6 +7,8 @@ bytes: every byte of a multi-byte character is 0x80 or more.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +80,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def spans(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
