@@ -15,9 +15,15 @@ _SHIPPED: set[str] = set()
 _LOCAL: list[str] = []
 
 
+#: Rows of an Arrow batch where the session has Spark's default: texts and sets are large rows.
+ARROW_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, once for each application."""
+    """Let executors import this package, once for each application; keep Arrow batches small unless the session says otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
