@@ -105,8 +105,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs with den * intersection >= num * union, on full sets."""
+def _measured(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Pairs with the sizes of both full sets and of what they have in common."""
 
     def run(batches):
         for b in batches:
@@ -120,12 +120,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int
                 order = np.lexsort((values, pair))
                 values, pair = values[order], pair[order]
                 both = np.bincount(pair[1:][(values[1:] == values[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
-                yield part.select(["a", "b"]).filter(pa.array(den * both >= num * (nx + ny - both)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nx), pa.array(ny), pa.array(both.astype(np.int64))], names=["a", "b", "na", "nb", "common"])
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = shingle_sets(docs, ends, width)
     side = lambda k: sets.select(F.col("node").alias(k), F.col("items").alias(f"i{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long, na long, nb long, common long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100) -> DataFrame:
@@ -144,8 +144,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     that band, the node whose bands are the most common: a group of copies of
     one original meets around it, in as many comparisons as it has members.
     What is then still in different components of a band is compared pair by
-    pair, but for pairs that shingles held by one node alone rule out.  A pair
-    is estimated on registers (0.25 below the threshold or more passes: over
+    pair, but for pairs that shingles held by one node alone, or the distances
+    from the hub, rule out.  A pair is estimated on registers (0.25 below the threshold or more passes: over
     five standard errors), then decided on full sets.
     """
     spark = docs.sparkSession
@@ -165,8 +165,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
         .select(F.greatest("node", -F.col("h.hub")).alias("a"), F.least("node", -F.col("h.hub")).alias("b"))
         .distinct()
     )
-    star = written(_likely(star, nodes, least), "pairs")
-    edges = written(_confirmed(star, docs, width, num, den), "links")
+    hubs = written(hubs.select("key", (-F.col("h.hub")).alias("hub")), "hubs")
+    star = written(_likely(star, nodes, least - 0.3), "pairs")
+    star = written(_measured(star, docs, width), "measured")
+    linking = f"{den} * common >= {num} * (na + nb - common)"
+    edges = star.where(linking).select("a", "b")
     parts = written(linked(edges), "parts")
 
     # what shares a band but no component yet
@@ -175,17 +178,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     split = written(split.join(mixed, "key"), "split")
     lone = written(_lone(shingle_sets(docs, split.select("node").distinct(), width, flat=True)), "lone")
     split = split.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).where(f"{den} * (n - lone) >= {num} * n")
+    apart = star.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("far"))
+    apart = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")).groupBy(F.col("a").alias("node"), F.col("b").alias("hub")).agg(F.min("far").alias("far"))
+    split = split.join(hubs, "key").join(apart, ["node", "hub"], "left").withColumn("far", F.when(F.col("node") == F.col("hub"), 0).otherwise(F.col("far")))
     split = written(split.join(nodes.select("node", keys.alias("keys")), "node"), "split")
-    x, y = (split.select("key", "band", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part", "lone", "keys")]) for k in "xy")
+    x, y = (split.select("key", "band", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part", "lone", "far", "keys")]) for k in "xy")
     y = y.drop("band")
     again = "coalesce(arrays_overlap(slice(keys_x, 1, band), slice(keys_y, 1, band)), false)"  # in an earlier band of theirs
+    # by the triangle inequality: two sets at very different distances from the band's hub are far from each other
+    near = f"coalesce(abs(far_x - far_y) * {den + num} <= (n_x + n_y) * {den - num}, true)"
     rest = (
-        x.join(y, (x["key"] == y["key"]) & F.expr(f"NOT {again} AND node_x > node_y AND part_x <> part_y AND {den} * least(n_x - lone_x, n_y - lone_y) >= {num} * (greatest(n_x - lone_x, n_y - lone_y) + lone_x + lone_y)"))
+        x.join(y, (x["key"] == y["key"]) & F.expr(f"{near} AND NOT {again} AND node_x > node_y AND part_x <> part_y AND {den} * least(n_x - lone_x, n_y - lone_y) >= {num} * (greatest(n_x - lone_x, n_y - lone_y) + lone_x + lone_y)"))
         .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
         .distinct()
     )
     rest = written(_likely(rest, nodes, least), "pairs")
-    edges = edges.unionByName(_confirmed(rest, docs, width, num, den))
+    edges = edges.unionByName(_measured(rest, docs, width).where(linking).select("a", "b"))
     parts = linked(edges)
 
     classes = nodes.join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
