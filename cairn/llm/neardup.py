@@ -14,7 +14,7 @@ from .common import bitmap, linked, passing, probed, ship, small, text_of, writt
 BUCKET_BITS, MANTISSA_BITS = 6, 10
 REGISTERS = 1 << BUCKET_BITS
 EMPTY = 0xFFFF
-#: 16 bands of 4 registers: at similarity 0.85 the odds of no common band are 8 in a million.
+#: 16 bands of 4 registers: the odds of no common band are 8 in a million at similarity 0.85, 0.0002 at 0.8.
 BAND = 4
 
 
@@ -209,7 +209,7 @@ def _lone(items: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("lone"))
 
 
-def deduplicated(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100) -> DataFrame:
+def deduplicated(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without those that are not kept; all columns of ``docs``."""
     gone = written(near_duplicates(docs, width, num, den).where("NOT kept").select("doc_id"), "gone")
     return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
