@@ -12,17 +12,20 @@ _LOCAL: list[str] = []
 
 
 def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, where that is unset, a folder of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one if driver and tasks share a disk, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors see")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="cairn-stage-"))
         base = f"file://{_LOCAL[0]}"
     return f"{base.rstrip('/')}/cairn-{os.getpid()}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table and read it back: cuts the lineage and survives the loss of executors."""
+def written(df: DataFrame, name: str = "t") -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
