@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.sources.staging import shared, written  # noqa: F401
+
 _SHIPPED: set[str] = set()
-_LOCAL: list[str] = []
 
 
 #: Rows of an Arrow batch where the session has Spark's default: texts and sets are large rows.
@@ -35,24 +34,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or, where that is unset, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="cairn-shared-"))
-        base = f"file://{_LOCAL[0]}"
-    return f"{base.rstrip('/')}/cairn-{os.getpid()}"
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name], F.lit(""))
 
@@ -84,12 +65,15 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-#: Bits of a bitmap filter: 2 MB whatever the number of ids; a full bitmap lets every row pass.
+#: Ids that a bitmap filter is made for, at most: 8 MB; with more ids the rows are joined by shuffle.
+MOST_IDS = 4_000_000
+
+
 BITS = 24
 
 
 def bitmap(ids: DataFrame, bits: int = BITS):
-    """A Bloom filter of a bigint column, three bits an id, as a numpy array of bytes: fixed size, so it may go to every task."""
+    """A Bloom filter of a bigint column, three bits an id, as a numpy array of bytes."""
     import numpy as np
 
     name = ids.columns[0]
@@ -101,6 +85,34 @@ def bitmap(ids: DataFrame, bits: int = BITS):
     return out
 
 
+def among(rows: DataFrame, name: str, ids: DataFrame):
+    """``rows`` narrowed to those whose bigint ``name`` is among ``ids``: a table, and what its batches go through in the task.
+
+    Up to MOST_IDS ids become a Bloom filter of 16 bits an id, which a few other
+    rows pass too; beyond that Spark joins.  Null ids are not among any.
+    """
+    count = ids.count()
+    if count > MOST_IDS:
+        return rows.join(ids.select(F.col(ids.columns[0]).alias(name)), name, "left_semi").select(rows.columns), lambda batches: batches
+    bits = max(12, (16 * count).bit_length())
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(ids, bits))
+    rows = rows.where(F.col(name).isNotNull()).select("*", *[F.shiftrightunsigned(F.xxhash64(F.col(name), F.lit(k)), 64 - bits).alias(f"_p{k}") for k in range(3)])
+
+    def passing(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        words = held.value
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            for k in range(3):
+                p = batch.column(batch.schema.get_field_index(f"_p{k}")).to_numpy(zero_copy_only=False).astype(np.int64)
+                ok &= (words[p >> 6] >> (p & 63)) & 1 == 1
+            yield batch.filter(pa.array(ok))
+
+    return rows, passing
+
+
 def probed(df: DataFrame, name: str, bits: int = BITS) -> DataFrame:
     """``df``, without null ids, and the places that the bitmap has for each id."""
     return df.where(F.col(name).isNotNull()).select("*", *[F.shiftrightunsigned(F.xxhash64(F.col(name), F.lit(k)), 64 - bits).alias(f"_p{k}") for k in range(3)])

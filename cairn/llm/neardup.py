@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import bitmap, linked, passing, probed, ship, small, text_of, written
+from .common import among, linked, ship, small, text_of, written
 
 #: 64 buckets; each register holds 6 bits of leading-zero count and 10 bits of mantissa.
 BUCKET_BITS, MANTISSA_BITS = 6, 10
@@ -73,22 +75,31 @@ def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = 5, flat: bool = False) -> DataFrame:
-    """node, items (its ascending shingle hashes as bytes) for the documents among nodes, and perhaps some more; flat: a row for each item."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int = 5) -> DataFrame:
+    """node, items (its ascending shingle hashes as bytes) for the documents among nodes, and perhaps some more."""
+    rows, passing = among(docs.select("doc_id", text_of(docs).alias("text")), "doc_id", nodes)
 
     def run(batches):
-        for batch in tx.slices(passing(batches, held.value)):
+        for batch in tx.slices(passing(batches)):
             values, start = _shingles(batch.column(1), width)
-            if flat:
-                node = np.repeat(batch.column(0).to_numpy(), np.diff(start))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(values.view(np.int64))], names=["node", "item"])
-            else:
-                data = values.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["node", "items"])
+            data = values.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["node", "items"])
+
+    return rows.mapInArrow(run, "node long, items binary")
 
-    docs = probed(docs.select("doc_id", text_of(docs).alias("text")), "doc_id")
-    return docs.mapInArrow(run, "node long, item long" if flat else "node long, items binary")
+
+def _items(sets: DataFrame) -> DataFrame:
+    """node, item: a row for each shingle of a set."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                data = part.column(1).to_pylist()
+                node = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in data])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.frombuffer(b"".join(data), np.int64))], names=["node", "item"])
+
+    return sets.select("node", "items").mapInArrow(run, "node long, item long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -105,7 +116,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _measured(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs with the sizes of both full sets and of what they have in common."""
 
     def run(batches):
@@ -122,8 +137,6 @@ def _measured(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 both = np.bincount(pair[1:][(values[1:] == values[:-1]) & (pair[1:] == pair[:-1])], minlength=part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nx), pa.array(ny), pa.array(both.astype(np.int64))], names=["a", "b", "na", "nb", "common"])
 
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = shingle_sets(docs, ends, width)
     side = lambda k: sets.select(F.col("node").alias(k), F.col("items").alias(f"i{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long, na long, nb long, common long")
 
@@ -135,81 +148,136 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     links) and kept (doc_id = component_id) for every row of ``docs``; other
     columns are ignored, whatever their names.
 
-    * A null or empty text, or one without words, has no shingles: it is its own component and kept.
+    * A null or empty text, or one without words, has no shingles and links nothing.
     * A row with a null doc_id takes no part: null component, kept.
-    * Rows that repeat a doc_id are one document and share its component.
+    * Rows that repeat a doc_id are one document, which has all links of its
+      texts, so they share a component; n_shingles is each row's own.
+    * An empty table gives none.  Long texts count whole.
 
     Plan.  Equal sets fold into one node first, so copies cost one grouped
     minimum.  Nodes that share a band of registers are compared with one hub of
     that band, the node whose bands are the most common: a group of copies of
     one original meets around it, in as many comparisons as it has members.
-    What is then still in different components of a band is compared pair by
-    pair, but for pairs that shingles held by one node alone, or the distances
-    from the hub, rule out.  A pair is estimated on registers (0.25 below the threshold or more passes: over
-    five standard errors), then decided on full sets.
+    What a band still holds apart goes to ``_leftover``.  A pair is estimated on
+    registers (0.25 below the threshold or more passes: over five standard
+    errors), then decided on full sets.
     """
-    spark = docs.sparkSession
-    least = num / den - 0.25
     sigs = written(signatures(docs, width), "signatures")
     nodes = written(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sig").alias("sig")), "nodes")
+    several = small(nodes.groupBy("node").count().where("count > 1").select("node"))  # ids with several texts that no smaller id has
 
-    keys = F.array(*[F.when(F.substring("sig", 2 * BAND * b + 1, 2 * BAND) != F.lit(b"\xff" * 2 * BAND), F.xxhash64(F.substring("sig", 2 * BAND * b + 1, 2 * BAND), F.lit(b))) for b in range(REGISTERS // BAND)])
-    rows = nodes.select("node", "n", F.posexplode(keys).alias("band", "key")).where("key IS NOT NULL")
+    rows = nodes.select("node", "n", F.posexplode(_keys()).alias("band", "key")).where("key IS NOT NULL")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = written(rows.join(shared, "key"), "bands")
     fame = rows.groupBy("node").agg(F.sum("size").alias("fame"))
     hubs = rows.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("hub"), "n")).alias("h"))
-    star = (
-        rows.join(hubs, "key")
-        .where("node <> -h.hub AND den * least(n, h.n) >= num * greatest(n, h.n)".replace("den", str(den)).replace("num", str(num)))
-        .select(F.greatest("node", -F.col("h.hub")).alias("a"), F.least("node", -F.col("h.hub")).alias("b"))
-        .distinct()
-    )
-    hubs = written(hubs.select("key", (-F.col("h.hub")).alias("hub")), "hubs")
-    star = written(_likely(star, nodes, least - 0.3), "pairs")
-    star = written(_measured(star, docs, width), "measured")
-    linking = f"{den} * common >= {num} * (na + nb - common)"
-    edges = star.where(linking).select("a", "b")
+    hubs = written(hubs.select("key", (-F.col("h.hub")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    pairs = rows.join(hubs, "key").where(f"node <> hub AND {den} * least(n, hub_n) >= {num} * greatest(n, hub_n)")
+    pairs = written(_likely(pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), nodes, num / den - 0.55), "pairs")
+    star = written(_measured(pairs, shingle_sets(docs, _ends(pairs), width)), "measured")
+    edges = star.where(f"{den} * common >= {num} * (na + nb - common)").select("a", "b")
+    edges = edges.unionByName(_leftover(docs, nodes, several, rows, hubs, star, edges, width, num, den))
+
+    # documents with several texts: their nodes belong together
+    repeats = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y"), F.min("k2").alias("z"), F.max("k2").alias("w")).where("x <> y OR z <> w").select("doc_id")
+    of_repeats = sigs.where("n > 0").join(small(written(repeats, "repeats")), "doc_id").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node")
+    own = of_repeats.groupBy("doc_id").agg(F.min("node").alias("least"))
+    edges = edges.unionByName(of_repeats.join(own, "doc_id").select(F.col("node").alias("a"), F.col("least").alias("b")))
     parts = written(linked(edges), "parts")
 
-    # what shares a band but no component yet
-    split = rows.join(parts, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    split = written(split.join(mixed, "key"), "split")
-    lone = written(_lone(shingle_sets(docs, split.select("node").distinct(), width, flat=True)), "lone")
-    split = split.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0))).where(f"{den} * (n - lone) >= {num} * n")
-    apart = star.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("far"))
-    apart = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "far")).groupBy(F.col("a").alias("node"), F.col("b").alias("hub")).agg(F.min("far").alias("far"))
-    split = split.join(hubs, "key").join(apart, ["node", "hub"], "left").withColumn("far", F.when(F.col("node") == F.col("hub"), 0).otherwise(F.col("far")))
-    split = written(split.join(nodes.select("node", keys.alias("keys")), "node"), "split")
-    x, y = (split.select("key", "band", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "part", "lone", "far", "keys")]) for k in "xy")
-    y = y.drop("band")
-    again = "coalesce(arrays_overlap(slice(keys_x, 1, band), slice(keys_y, 1, band)), false)"  # in an earlier band of theirs
-    # by the triangle inequality: two sets at very different distances from the band's hub are far from each other
-    near = f"coalesce(abs(far_x - far_y) * {den + num} <= (n_x + n_y) * {den - num}, true)"
-    rest = (
-        x.join(y, (x["key"] == y["key"]) & F.expr(f"{near} AND NOT {again} AND node_x > node_y AND part_x <> part_y AND {den} * least(n_x - lone_x, n_y - lone_y) >= {num} * (greatest(n_x - lone_x, n_y - lone_y) + lone_x + lone_y)"))
-        .select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-        .distinct()
-    )
-    rest = written(_likely(rest, nodes, least), "pairs")
-    edges = edges.unionByName(_measured(rest, docs, width).where(linking).select("a", "b"))
-    parts = linked(edges)
-
     classes = nodes.join(parts, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    of_id = classes.alias("c")
-    out = sigs.join(of_id, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when((F.col("n") == 0) | F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _lone(items: DataFrame) -> DataFrame:
-    """node, lone: how many of its items no other of these nodes has."""
-    once = items.groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-    return once.groupBy("node").agg(F.count("*").alias("lone"))
+    some = sigs.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["k1", "k2"]).select("doc_id", "n", "component_id")
+    none = sigs.where("n = 0 OR doc_id IS NULL").join(small(of_repeats_component(own, parts)), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    out = some.unionByName(none)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _keys():
+    """A row's band keys, null for a band without any register set."""
+    band = lambda b: F.substring("sig", 2 * BAND * b + 1, 2 * BAND)
+    return F.array(*[F.when(band(b) != F.lit(b"\xff" * 2 * BAND), F.xxhash64(band(b), F.lit(b))) for b in range(REGISTERS // BAND)])
+
+
+def _leftover(docs, nodes, several, rows, hubs, star, edges, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between nodes that share a band but no component of ``edges``.
+
+    Exact bounds come first, each from a grouped pass over the nodes' shingles.
+    A shingle is lone if no other of these nodes has it.  A node with too many
+    lone ones links with nothing and goes; this is done twice.  The rest is
+    compared with a second hub of the band, one outside its largest component.
+
+    For what is apart still: with A the shingles that a node has and its
+    band's hub hasn't, and R those that the hub has and it hasn't, two nodes
+    differ in at least lone + lone' + |(A - lone) - (A' - lone')| + |R - R'|
+    shingles.  The numbers of a node are its class in the band; classes are
+    compared, not nodes, and only the members of classes that may link, of
+    which one is outside the largest component, are paired.  So a group of near
+    copies costs as many rows as it has members, but for pairs that no bound
+    tells from a link.
+    """
+    linking = f"{den} * common >= {num} * (na + nb - common)"
+    parts = written(linked(edges), "parts")
+    split = rows.join(parts, "node", "left").select("key", "band", "node", "n", "size", F.coalesce("component", "node").alias("part"))
+    mixed = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    split = written(split.join(mixed, "key").join(hubs.select("key", "hub"), "key").join(several.withColumn("more", F.lit(True)), "node", "left"), "split")
+    sets = written(shingle_sets(docs, split.select("node").distinct(), width), "sets")
+    for _ in range(2):
+        once = _items(sets).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+        lone = once.groupBy("node").agg(F.count("*").alias("l"))
+        split = split.drop("lone").join(lone, "node", "left").withColumn("lone", F.when(F.col("more") | (F.col("node") == F.col("hub")), 0).otherwise(F.coalesce("l", F.lit(0)))).drop("l")
+        split = written(split.where(f"node = hub OR {den} * (n - lone) >= {num} * n"), "split")
+        mixed = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+        split = written(split.join(mixed, "key"), "split")
+        sets = written(sets.join(split.select("node").distinct(), "node", "left_semi"), "sets")
+    if split.isEmpty():
+        return edges.limit(0)
+
+    # a second hub, and the components anew
+    large = split.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("large"))
+    outside = written(split.join(large, "key").where("part <> large"), "outside")
+    fame = outside.groupBy("node").agg(F.sum("size").alias("fame"))
+    second = outside.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("hub"), "n", "part")).alias("h"))
+    pairs = outside.drop("hub").join(second.select("key", (-F.col("h.hub")).alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.part").alias("hub_part")), "key")
+    pairs = pairs.where(f"part <> hub_part AND {den} * least(n - lone, hub_n) >= {num} * greatest(n, hub_n)").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    pairs = _likely(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"), nodes, num / den - 0.25)
+    more = written(_measured(pairs, sets).where(linking).select("a", "b"), "links")
+    parts = written(linked(edges.unionByName(more)), "parts")
+
+    # classes of nodes in a band, by their numbers
+    apart = star.select(F.col("a").alias("node"), F.col("b").alias("hub"), (F.col("na") - F.col("common")).alias("added"), (F.col("nb") - F.col("common")).alias("gone"))
+    apart = apart.unionByName(star.select(F.col("b").alias("node"), F.col("a").alias("hub"), (F.col("nb") - F.col("common")).alias("added"), (F.col("na") - F.col("common")).alias("gone")))
+    apart = apart.groupBy("node", "hub").agg(F.count("*").alias("c"), F.min("added").alias("added"), F.min("gone").alias("gone")).where("c = 1")
+    rest = split.drop("part", "size").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    rest = rest.join(large, "key").join(apart, ["node", "hub"], "left")
+    known = lambda c: F.when(F.col("more"), -1).when(F.col("node") == F.col("hub"), 0).otherwise(F.coalesce(c, F.lit(-1)))
+    rest = rest.select("key", "band", "node", "part", F.struct("n", "lone", known("added").alias("added"), known("gone").alias("gone"), (F.col("part") == F.col("large")).alias("large")).alias("kind"))
+    rest = written(rest.join(nodes.select("node", _keys().alias("keys")), "node"), "rest")
+    step = max(math.log(den / num), 1e-6) * 1.0001
+    size = F.floor(F.log(F.col("kind.n")) / step)
+    kinds = rest.groupBy("key", "kind").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    x = kinds.select("key", F.col("kind").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.explode(F.array(size, size + 1)).alias("at"))
+    y = kinds.select("key", F.col("kind").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), size.alias("at"))
+    far = "x.lone + y.lone + CASE WHEN x.added >= 0 AND y.added >= 0 THEN abs((x.added - x.lone) - (y.added - y.lone)) + abs(x.gone - y.gone) ELSE 0 END"
+    may = f"x <= y AND NOT (x.large AND y.large) AND NOT (xlo = yhi AND xhi = ylo AND xlo = ylo) AND {den + num} * ({far}) <= {den - num} * (x.n + y.n) AND {den} * least(x.n - x.lone, y.n - y.lone) >= {num} * (greatest(x.n - x.lone, y.n - y.lone) + x.lone + y.lone)"
+    kinds = written(x.join(y, ["key", "at"]).where(may).select("key", "x", "y"), "kinds")
+    p, q = (rest.select("key", F.col("kind").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("band", "node", "part", "keys")]) for k in "xy")
+    again = "coalesce(arrays_overlap(slice(keys_x, 1, band_x), slice(keys_y, 1, band_x)), false)"  # in an earlier band of theirs
+    pairs = kinds.join(p, ["key", "x"]).join(q, ["key", "y"]).where(f"node_x <> node_y AND part_x <> part_y AND NOT {again}")
+    pairs = pairs.select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+    return more.unionByName(_measured(_likely(pairs, nodes, num / den - 0.25), sets).where(linking).select("a", "b"))
+
+
+def of_repeats_component(own: DataFrame, parts: DataFrame) -> DataFrame:
+    """doc_id, component of the documents that have several texts: an empty one among them goes with the others."""
+    return own.join(parts, own["least"] == parts["node"], "left").select("doc_id", F.coalesce("component", "least").alias("component"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without those that are not kept; all columns of ``docs``."""
-    gone = written(near_duplicates(docs, width, num, den).where("NOT kept").select("doc_id"), "gone")
+    """The documents without those that are not kept; all columns of ``docs``, whatever their names.
+
+    Of linked documents the one with the smallest doc_id stays.  Rows without
+    an id, and texts without words, stay; rows that repeat an id stay or go
+    together.  An empty table gives none.
+    """
+    gone = written(near_duplicates(docs, width, num, den).where("NOT kept").select("doc_id").distinct(), "gone")
     return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
