@@ -69,10 +69,7 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
 MOST_IDS = 4_000_000
 
 
-BITS = 24
-
-
-def bitmap(ids: DataFrame, bits: int = BITS):
+def bitmap(ids: DataFrame, bits: int):
     """A Bloom filter of a bigint column, three bits an id, as a numpy array of bytes."""
     import numpy as np
 
@@ -112,20 +109,3 @@ def among(rows: DataFrame, name: str, ids: DataFrame):
 
     return rows, passing
 
-
-def probed(df: DataFrame, name: str, bits: int = BITS) -> DataFrame:
-    """``df``, without null ids, and the places that the bitmap has for each id."""
-    return df.where(F.col(name).isNotNull()).select("*", *[F.shiftrightunsigned(F.xxhash64(F.col(name), F.lit(k)), 64 - bits).alias(f"_p{k}") for k in range(3)])
-
-
-def passing(batches, words):
-    """Of probed rows, those whose id may be in the bitmap: all that are, and a few more."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        ok = np.ones(batch.num_rows, bool)
-        for k in range(3):
-            p = batch.column(batch.schema.get_field_index(f"_p{k}")).to_numpy(zero_copy_only=False).astype(np.int64)
-            ok &= (words[p >> 6] >> (p & 63)) & 1 == 1
-        yield batch.filter(pa.array(ok))
