@@ -19,12 +19,10 @@ META = 1 << 10
 TARGETS = ("quality", "toxic")
 #: Labelled rows that the classifiers are fitted on (a bounded sample), and the share kept apart for calibration.
 SAMPLE, HELD = 12_000, 0.25
-#: Rounds of co-training, and how many pseudo-labels of each class a view passes on in a round, at most.
-ROUNDS, PASSED = 2, 200
-#: A view is confident enough to pass a label on from this calibrated probability, if its
-#: log-odds are also this much above the class's base rate: a view that knows little is
-#: always sure of a common class.
-CONFIDENT, LIFT = 0.95, 2.0
+#: Rounds of co-training; the share of the training rows that a view passes on in a round, for each class; and what such a row weighs.
+ROUNDS, PASSED, WEIGHT = 2, 0.05, 0.5
+#: The combination is pulled to adding up both views' evidence with this weight.
+RIDGE = 1.0
 
 
 def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,26 +94,30 @@ class Logistic:
         at = np.flatnonzero(self.index[k] == cell)
         return at, k[at]
 
-    def fit(self, cell: np.ndarray, start: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.3, decay: float = 1e-3) -> Logistic:
+    def fit(self, cell: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 200, rate: float = 0.3, decay: float = 1e-3) -> Logistic:
+        """``y`` may lie between 0 and 1: a label that the other view gives is its calibrated probability."""
         n = len(y)
+        weight = np.ones(n) if weight is None else weight
         if not n or y.min() == y.max():
             self.bias = 0.0 if not n else (3.0 if y[0] else -3.0)
             return self
         row = np.repeat(np.arange(n), np.diff(start))
         names, number = np.unique(cell, return_inverse=True)
-        have, up = np.bincount(number), np.bincount(number, weights=y[row])
-        expect = have * y.mean()
-        chi = (up - expect) ** 2 / np.maximum(expect * (1 - y.mean()) * (1 - have / (n + 1)), 1e-9)
+        mean = (y * weight).sum() / weight.sum()
+        have, up = np.bincount(number, weights=weight[row]), np.bincount(number, weights=(y * weight)[row])
+        expect = have * mean
+        chi = (up - expect) ** 2 / np.maximum(expect * (1 - mean) * (1 - have / (weight.sum() + 1)), 1e-9)
         ok = np.flatnonzero((have >= 3) & (chi > self.CHI))
         ok = np.sort(ok[np.argsort(-chi[ok], kind="stable")[: self.TELLING]])
         self.index, self.value = names[ok], np.zeros(len(ok))
         at, k = self._known(cell)
         row = row[at]
-        share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
+        up, down = 0.5 / mean * y * weight / weight.sum(), 0.5 / (1 - mean) * (1 - y) * weight / weight.sum()
         seen, seen_bias = np.full(len(ok), 1e-8), 1e-8
         for _ in range(steps):
             z = np.bincount(row, weights=self.value[k], minlength=n) + self.bias
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            g = p * (up + down) - up
             gw = np.bincount(k, weights=g[row], minlength=len(ok)) + decay * self.value / n
             seen += gw * gw
             self.value -= rate * gw / np.sqrt(seen)
@@ -157,38 +159,42 @@ def _joined(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Views:
-    """The two classifiers of one target and the weights that combine them."""
-
-    def fit(self, text_rows: list, text_y: list, meta_rows: list, meta_y: list, held: list[tuple]) -> Views:
-        """Fit each view on its own rows (labelled, and what the other passed on), then calibrate on held-out labelled rows."""
-        self.text = Logistic(MAKEUP * 8 + WORDS).fit(*_joined(text_rows), np.array(text_y, float))
-        self.meta = Logistic(META).fit(*_joined(meta_rows), np.array(meta_y, float))
+    """The two classifiers of one target and what combines them."""
+
+    def fit(self, text_rows: list, meta_rows: list, held: list[tuple], base: float) -> Views:
+        """Fit each view on its own rows (cells, label, weight): labelled ones and what the other passed on; then calibrate on held-out labelled rows."""
+        made = lambda rows: (*_joined([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float))
+        self.text = Logistic(MAKEUP * 8 + WORDS).fit(*made(text_rows))
+        self.meta = Logistic(META).fit(*made(meta_rows))
+        self.base = base
         y = np.array([h[2] for h in held], float)
         for view, k in ((self.text, 0), (self.meta, 1)):
             cells = _joined([h[k] for h in held])
             view.calibrate(view.raw(*cells), y)
-        # the combination: logits of both views, weighed on the held-out rows
         t, m = self.text.logit(*_joined([h[0] for h in held])), self.meta.logit(*_joined([h[1] for h in held]))
-        self.mix = self._weigh(t, m, y)
+        self.mix = self._weigh(t - base, m - base, y, base)
         return self
 
     @staticmethod
-    def _weigh(t: np.ndarray, m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-        """Weights of the two logits, none negative, with the least log loss on a grid."""
+    def _weigh(t: np.ndarray, m: np.ndarray, y: np.ndarray, base: float) -> np.ndarray:
+        """Weights of both views' evidence and a shift: logistic regression on held-out rows, pulled to (1, 1, base), so the result is calibrated."""
+        w = np.array([1.0, 1.0, base])
         if len(y) < 10 or y.min() == y.max():
-            return 1.0, 0.0
-        best = (np.inf, 1.0, 0.0)
-        base = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-        for a in (0.6, 0.8, 1.0, 1.2):
-            for b in (0.0, 0.25, 0.5, 1.0):
-                z = a * t + b * (m - base)
-                loss = np.logaddexp(0, np.where(y == 1, -z, z)).mean()
-                if loss < best[0] - 1e-4:
-                    best = (loss, a, b)
-        return best[1], best[2]
-
-
-def _scored(rows: DataFrame, views: dict[str, Views], bases: dict[str, float]) -> DataFrame:
+            return w
+        x, pull = np.stack([t, m, np.ones(len(t))], axis=1), w.copy()
+        for _ in range(60):  # Newton's method with a little damping
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + RIDGE * np.eye(3), x.T @ (p - y) + RIDGE * (w - pull))
+            w = w - step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        return np.append(np.maximum(w[:2], 0), w[2])
+
+    def logits(self, text: tuple, meta: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the text view, the metadata view, and both."""
+        t, m = self.text.logit(*text), self.meta.logit(*meta)
+        return t, m, self.mix[0] * (t - self.base) + self.mix[1] * (m - self.base) + self.mix[2]
+
+
+def _scored(rows: DataFrame, views: dict[str, Views]) -> DataFrame:
     """doc_id and, for each target, the probabilities text_<t>, meta_<t> and <t> (both views)."""
     names = [f"{v}{t}" for t in TARGETS for v in ("text_", "meta_", "")]
 
@@ -200,16 +206,15 @@ def _scored(rows: DataFrame, views: dict[str, Views], bases: dict[str, float]) -
             meta = lists.values.to_numpy(zero_copy_only=False).astype(np.int64)[off[0] : off[-1]], off - off[0]
             out = []
             for t in TARGETS:
-                a, b = views[t].text.logit(*cells), views[t].meta.logit(*meta)
-                z = views[t].mix[0] * a + views[t].mix[1] * (b - bases[t])
-                out += [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for x in (a, b, z)]
+                out += [pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for x in views[t].logits(cells, meta)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["doc_id", *names])
 
     return rows.select("doc_id", "_text", "_meta").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def _features(rows: DataFrame) -> list[tuple]:
-    """(doc_id, text cells, metadata cells) of a bounded set of rows."""
+    """(doc_id, text cells, metadata cells) of a bounded set of ids; of rows that repeat an id the one with the smallest text."""
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("_text", "_meta")).alias("r")).select("doc_id", "r._text", "r._meta")
 
     def run(batches):
         for batch in tx.slices(batches, "_text"):
@@ -227,65 +232,87 @@ def _sampled(labels: DataFrame, limit: int) -> DataFrame:
     return ok.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
-    """Scores of every document, for each target (quality, toxic): text_<t>, meta_<t> and <t>, and kept.
-
-    Co-training.  Both views are fitted on the labelled sample.  In each round
-    they score all documents without a label; each view's surest, up to PASSED
-    of each class, CONFIDENT at least and LIFT above the base rate, become training rows of the *other*
-    view, with their features.  After the last round the views are calibrated
-    on held-out labelled rows and combined.  ``kept``: quality at least a half
-    and toxic below it.
-
-    * A null text is empty.  A null language or source is a value of its own.
-    * Rows without a usable label are unlabelled; labels without a document,
-      with nulls, or with other values are ignored; of repeated ones the
-      larger counts.  Rows that repeat an id are scored each.
-    * Without labels of both classes a target's score is one half, and with no
-      label at all every document is kept.
+def trained(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[dict[str, Views], list[dict]]:
+    """The co-trained views of each target, and a history: for each fit and target how many rows each view was fitted on.
 
-    Only the sample and the passed rows, both bounded, come to the driver; all
-    documents are scored where they are, and no text is shuffled.
+    ``rows`` has doc_id, _text and _meta.  No labelled document gives no views.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), metadata(docs).alias("_meta"))
+    spark = rows.sparkSession
     chosen = written(_sampled(labels, sample), "labels")  # at most ``sample`` rows
     truth = {r["doc_id"]: tuple(r[t] for t in TARGETS) for r in chosen.collect()}
     known = {i: (c, m) for i, c, m in _features(rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))} if truth else {}
-    ids = sorted(i for i in known)
-    cut = int(len(ids) * HELD)
-    rank = sorted(ids, key=lambda i: (i * 2654435761 % 2**32, i))
+    if not known:
+        return {}, []
+    rank = sorted(known, key=lambda i: (i * 2654435761 % 2**32, i))
+    cut = int(len(rank) * HELD)
     held, train = rank[:cut], rank[cut:]
     extra = {t: {"text": [], "meta": []} for t in TARGETS}
-    views, bases = {}, {}
+    views: dict[str, Views] = {}
+    history: list[dict] = []
 
     def fit():
         for k, t in enumerate(TARGETS):
-            own = {v: [(known[i][j], truth[i][k]) for i in train] + extra[t][v] for j, v in enumerate(("text", "meta"))}
+            own = {v: [(known[i][j], truth[i][k], 1.0) for i in train] + extra[t][v] for j, v in enumerate(("text", "meta"))}
             y = [truth[i][k] for i in held]
-            views[t] = Views().fit([x for x, _ in own["text"]], [y for _, y in own["text"]], [x for x, _ in own["meta"]], [y for _, y in own["meta"]], [(*known[i], truth[i][k]) for i in held])
-            bases[t] = float(np.log((sum(y) + 1) / (len(y) - sum(y) + 1)))
+            base = float(np.log((sum(y) + 1) / (len(y) - sum(y) + 1)))
+            views[t] = Views().fit(own["text"], own["meta"], [(*known[i], truth[i][k]) for i in held], base)
+            history.append({"target": t, "text": len(own["text"]), "meta": len(own["meta"])})
 
     fit()
-    free = rows.join(small(labels.where("doc_id IS NOT NULL").select("doc_id").distinct()), "doc_id", "left_anti") if truth else rows
+    free = rows.where("doc_id IS NOT NULL").join(small(labels.where("doc_id IS NOT NULL").select("doc_id").distinct()), "doc_id", "left_anti")
+    most = max(1, int(PASSED * len(train)))
+    passed: set[int] = set()
     for _ in range(rounds if len(train) >= 20 else 0):
-        probs = written(_scored(free, views, bases), "views")
+        probs = written(_scored(free, views), "views")
+        if passed:  # at most four times PASSED of the sample for each target and round
+            probs = probs.join(F.broadcast(spark.createDataFrame([(i,) for i in passed], "doc_id long")), "doc_id", "left_anti")
         picked: dict[int, list] = {}
         for t in TARGETS:
+            rate = 1 / (1 + np.exp(-views[t].base))
             for view, other in (("text", "meta"), ("meta", "text")):
-                for y in (0, 1):
-                    p = F.col(f"{view}_{t}") if y else 1 - F.col(f"{view}_{t}")
-                    least = max(CONFIDENT, float(1 / (1 + np.exp(-(bases[t] if y else -bases[t]) - LIFT))))
-                    for r in probs.where((p >= least) & F.col("doc_id").isNotNull()).orderBy(p.desc(), "doc_id").select("doc_id").limit(PASSED).collect():
-                        picked.setdefault(r["doc_id"], []).append((t, other, y))
+                p = F.col(f"{view}_{t}")
+                for sure, order in ((p > float(rate), p.desc()), (p < float(rate), p.asc())):
+                    for r in probs.where(sure).orderBy(order, F.xxhash64("doc_id"), "doc_id").select("doc_id", p.alias("p")).limit(most).collect():
+                        picked.setdefault(r["doc_id"], []).append((t, other, r["p"]))
         if not picked:
             break
-        wanted = spark.createDataFrame([(i,) for i in picked], "doc_id long")  # a few thousand ids
+        passed |= set(picked)
+        wanted = spark.createDataFrame([(i,) for i in picked], "doc_id long")
         for i, cells, meta in _features(rows.join(F.broadcast(wanted), "doc_id", "left_semi")):
-            for t, other, y in picked.pop(i, ()):
-                extra[t][other].append((cells if other == "text" else meta, y))
+            for t, other, p in picked.pop(i, ()):
+                extra[t][other].append((cells if other == "text" else meta, p, WEIGHT))
         fit()
-    out = _scored(rows, views, bases)
-    kept = (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5) if truth else F.lit(True)
-    return out.withColumn("kept", kept)
+    return views, history
+
+
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+    """Scores of every document, for each target (quality, toxic): text_<t>, meta_<t> and <t>, and kept.
+
+    Co-training.  Both views are fitted on the labelled sample and calibrated on
+    the part of it that is held out.  In each round they score all documents
+    without a label; those that a view is surest of, above and below the base
+    rate, up to a share PASSED of the training rows for either side, become
+    training rows of the *other* view with the calibrated probability as their
+    label, and leave the pool.  Ties go by a hash of the id.  At the end the
+    views' evidence is combined by a regression on the held-out rows.
+    ``kept``: quality at least a half and toxic below it.
+
+    * A null text is empty.  A null language or source is a value of its own.
+    * Rows without a usable label are unlabelled; labels without a document,
+      with nulls, or with other values are ignored; of repeated ones the
+      larger counts.  Rows that repeat an id are scored each.
+    * With labels of one class only a target's score is near that class; with
+      no label at all scores are one half and every document is kept.
+    * An empty table gives no rows.  Other columns are ignored.
+
+    Only the sample and the passed rows, both bounded by ``sample``, come to the
+    driver; all documents are scored where they are, and no text is shuffled
+    but of those rows.
+    """
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"), metadata(docs).alias("_meta"))
+    views, _ = trained(rows, labels, sample, rounds)
+    if not views:
+        half = [F.lit(0.5).alias(f"{v}{t}") for t in TARGETS for v in ("text_", "meta_", "")]
+        return rows.select("doc_id", *half, F.lit(True).alias("kept"))
+    return _scored(rows, views).withColumn("kept", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
