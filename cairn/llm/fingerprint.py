@@ -3,9 +3,9 @@
 A text is a multiset of paragraphs.  Each paragraph is hashed to a wide vector,
 and the vectors are summed lane by lane modulo powers of two:
 
-* 16 lanes of uniform 32-bit values: equal multisets have equal sums, others
-  differ but for a chance of 2**-512 at best (xxhash64 isn't meant to withstand
-  an adversary);
+* 16 lanes of uniform 32-bit values, from eight hashes of the paragraph with
+  seeds of their own: equal multisets have equal sums, others differ but for a
+  chance of about 2**-512 (xxhash64 isn't meant to withstand an adversary);
 * 64 lanes that each count the paragraphs with one bit of their hash set.
   Twice the count less the number of paragraphs is a sum of random signs, so
   the squared difference of two texts' sums estimates how many paragraphs they
@@ -35,9 +35,10 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n+|(?<=[.!?]) +"), lambda p: p != "")
 
 
-def vector(h: Column) -> Column:
-    """The lanes of a paragraph's hash: its count (1), the wide lanes, the packed signs."""
-    wide = [x for k in range(WIDE) for w in [F.xxhash64(h, F.lit(k))] for x in (w.bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned(w, 32))]
+def vector(p: Column) -> Column:
+    """The lanes of a paragraph: its count (1), the wide lanes, the packed signs."""
+    wide = [x for k in range(WIDE) for w in [F.xxhash64(F.lit(k), p)] for x in (w.bitwiseAND(F.lit(_HALF)), F.shiftrightunsigned(w, 32))]
+    h = F.xxhash64(p)
     return F.array(F.lit(1).cast("long"), *wide, *[F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES)) for j in range(SIGNS // 2)])
 
 
@@ -58,19 +59,18 @@ def _reduced(lanes: Column) -> Column:
 
 def lanes(text: Column) -> Column:
     """The sums of a text's paragraphs, as an array of longs."""
-    hashes = F.transform(paragraphs(text), lambda p: F.xxhash64(p))
     zero = F.array_repeat(F.lit(0).cast("long"), 1 + 2 * WIDE + SIGNS // 2)
-    return _reduced(F.aggregate(hashes, zero, lambda acc, h: _added(acc, vector(h))))
+    return _reduced(F.aggregate(paragraphs(text), zero, lambda acc, p: _added(acc, vector(p))))
 
 
 def inserted(lanes_of: Column, paragraph: Column) -> Column:
     """The sums after one more paragraph."""
-    return _reduced(_added(lanes_of, vector(F.xxhash64(paragraph))))
+    return _reduced(_added(lanes_of, vector(paragraph)))
 
 
 def deleted(lanes_of: Column, paragraph: Column) -> Column:
     """The sums after taking out a paragraph that the text has."""
-    return _reduced(_added(lanes_of, vector(F.xxhash64(paragraph)), -1))
+    return _reduced(_added(lanes_of, vector(paragraph), -1))
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -112,10 +112,12 @@ def with_next(rows: DataFrame, columns: list[str], tie: list[str]) -> DataFrame:
 
     Ranges of ids are ordered apart.  The first row of each range is also sent,
     as a visitor, to the range before, where it stands last; so no task sees
-    more than its range.  Null ids come last; rows of one id are in the order
-    of ``tie``.
+    more than its range.  Rows of one id are in the order of ``tie``.  A null
+    id has no place in the order: nothing follows it, next_<c> is null.
     """
     spark = rows.sparkSession
+    lost = rows.where("doc_id IS NULL").select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(f"next_{c}") for c in columns])
+    rows = rows.where("doc_id IS NOT NULL")
     bounds = _bounds(rows, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     count = len(bounds)
     if not count:
@@ -127,9 +129,9 @@ def with_next(rows: DataFrame, columns: list[str], tie: list[str]) -> DataFrame:
     place = F.struct(at.alias("range"), F.lit(0).alias("visitor"))
     visit = F.when(F.get(table, at) == F.col("doc_id"), F.struct(((at + 1) % count).alias("range"), F.lit(1).alias("visitor")))
     spread = rows.withColumn("_at", F.explode(F.filter(F.array(place, visit), lambda x: x.isNotNull())))
-    order = Window.partitionBy("_at.range").orderBy(F.col("_at.visitor"), F.col("doc_id").desc_nulls_last(), *tie)
+    order = Window.partitionBy("_at.range").orderBy(F.col("_at.visitor"), F.col("doc_id").desc(), *tie)
     out = spread.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return out.where("_at.visitor = 0").drop("_at")
+    return out.where("_at.visitor = 0").drop("_at").unionByName(lost)
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -141,9 +143,9 @@ def compared(docs: DataFrame) -> DataFrame:
     edited_fingerprint, near_edited, near_next.
 
     A null text counts as empty; texts without paragraphs have equal
-    fingerprints.  Rows of one id follow each other by text.  A null id comes
-    last; if all ids are null, the last row has an empty text after it.  Other
-    columns are ignored.  One shuffle, by ranges of ids.
+    fingerprints.  Rows of one id follow each other by text.  After a row with
+    a null id comes an empty text.  An empty table gives none; other columns are
+    ignored.  One shuffle, by ranges of ids.
     """
     rows = docs.select("doc_id", text_of(docs).alias("text")).withColumn("lanes", lanes(F.col("text")))
     rows = with_next(rows, ["text", "lanes"], ["text"])
