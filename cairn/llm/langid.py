@@ -14,8 +14,8 @@ from .common import ship, small, written
 CELLS = 4096
 #: Overlapping trigrams are not independent: a text counts as this many at most.
 TRIGRAMS = 100
-#: A language is known if at least this share of the rows with a declared language declares it.
-SHARE = 0.001
+#: Languages that are known: those that the most rows declare.  A text of another is meant to be UNKNOWN, whose trigrams are all alike.
+LANGUAGES, UNKNOWN = 128, "und"
 #: Pseudo-counts that pull a host to its domain, a domain to its suffix, and a suffix to the whole.
 PULL = 20.0
 #: A row is accepted if its best language has at least this posterior and its text has a letter trigram.
@@ -29,7 +29,7 @@ _LETTER[0x80:] = True
 def of_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with the evidence columns _text, _declared, _suffix, _host, _domain: the language column is the declared language, the source the host."""
     columns = docs.columns
-    pick = lambda name: F.nullif(F.lower(F.trim(F.col(name))), F.lit("")) if name in columns else F.lit(None).cast("string")
+    pick = lambda name: F.nullif(F.lower(F.trim(F.col(name).cast("string"))), F.lit("")) if name in columns else F.lit(None).cast("string")
     none = F.lit(None).cast("string")
     return docs.select("*", F.coalesce("text", F.lit("")).alias("_text"), pick("lang").alias("_declared"), none.alias("_suffix"), pick("source").alias("_host"), none.alias("_domain"))
 
@@ -70,16 +70,15 @@ def _pieces(column: pa.Array):
 
 
 def languages(rows: DataFrame) -> list[str]:
-    """Declared languages that are common enough to know, at most 1 / SHARE of them."""
-    counts = rows.where("_declared IS NOT NULL").groupBy("_declared").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    counts = counts.where(F.col("n") >= SHARE * total)
-    return sorted(r["_declared"] for r in counts.collect())
+    """The known languages in alphabetical order, and last UNKNOWN; none if no row declares one."""
+    counts = rows.where(F.col("_declared").isNotNull() & (F.col("_declared") != UNKNOWN)).groupBy("_declared").agg(F.count("*").alias("n"))
+    found = sorted(r["_declared"] for r in counts.orderBy(F.desc("n"), "_declared").limit(LANGUAGES).collect())
+    return [*found, UNKNOWN] if found else []
 
 
 def text_model(rows: DataFrame, known: list[str]) -> np.ndarray:
-    """Log-likelihood of each trigram cell in each language, from grouped counts over all rows that declare one."""
-    size = len(known)
+    """Log-likelihood of each trigram cell in each language, from grouped counts over all rows that declare one; the same for each cell if unknown."""
+    size = len(known) - 1
 
     def run(batches):
         sums = np.zeros((size, CELLS), np.int64)
@@ -95,13 +94,13 @@ def text_model(rows: DataFrame, known: list[str]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int64()), pa.array(cell, pa.int64()), pa.array(sums[lang, cell])], names=["lang", "cell", "n"])
 
     ship(rows.sparkSession)
-    label = F.array_position(F.array(*[F.lit(x) for x in known]), F.col("_declared")) - 1
+    label = F.array_position(F.array(*[F.lit(x) for x in known[:size]]), F.col("_declared")) - 1
     parts = rows.select(label.alias("label"), "_text").where("label >= 0").mapInArrow(run, "lang long, cell long, n long")
     found = parts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()  # languages times cells at most
     counts = np.zeros((size, CELLS))
     counts[found["lang"].to_numpy(np.int64), found["cell"].to_numpy(np.int64)] = found["n"]
     counts += 0.5
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).T
+    return np.append(np.log(counts / counts.sum(axis=1, keepdims=True)).T, np.full((CELLS, 1), -np.log(CELLS)), axis=1)
 
 
 def scores(model: np.ndarray) -> Column:
@@ -167,7 +166,8 @@ class Evidence:
         names = F.array(*[F.lit(x) for x in self.known])
         ll = F.slice("_ll", 1, size)
         rows = scored.join(small(self.declared, 50_000), F.col("_declared") == F.col("_k1"), "left")
-        rows = rows.join(small(self.host, 50_000), F.col("_host") == F.col("_k2"), "left")
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("_ll"), F.lit(1000)).cast("string"))  # rows without a host meet none, in many tasks
+        rows = rows.join(small(self.host, 50_000), F.coalesce("_host", spread) == F.col("_k2"), "left")
         rows = rows.join(small(self.suffix.withColumnRenamed("_suffix", "_k3"), 50_000), F.col("_suffix") == F.col("_k3"), "left")
         rows = rows.withColumn("_own", _softmax(ll))
         own = F.when(F.get("_ll", F.lit(size)) > 0, F.col("_own")).otherwise(F.transform("_own", lambda v: v * 0))
@@ -179,18 +179,21 @@ class Evidence:
         best = F.array_position("_post", F.array_max("_post")).cast("int")
         text_best = F.array_position(ll, F.array_max(ll)).cast("int")
         rows = rows.withColumn("probability", F.array_max("_post")).withColumn("language", F.get(names, best - 1)).withColumn("text_lang", F.when(F.get("_ll", F.lit(size)) > 0, F.get(names, text_best - 1)))
-        accepted = (F.col("probability") >= ACCEPT) & (F.get("_ll", F.lit(size)) > 0)
+        accepted = (F.col("probability") >= ACCEPT) & (F.get("_ll", F.lit(size)) > 0) & (F.col("language") != UNKNOWN)
         return rows.withColumn("accepted", accepted)
 
 
 def identified(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Language of each row that has the evidence columns: the columns ``keep``, then declared, text_lang, language, probability, accepted.
+    """Language of each row that has the evidence columns: ``keep`` of its own columns, then declared, text_lang, language, probability, accepted.
 
-    Null or empty texts, and texts without letters, are not accepted; their
-    language is what the other evidence says.  Null declared languages,
-    suffixes and hosts are no evidence.  Ties go to the language that comes
-    first in the alphabet.  Repeated rows and ids are rows like others.  If no
-    row declares a language, none is known: language is null, nothing accepted.
+    A language is known if it is among the LANGUAGES that most rows declare; a
+    text that is like none of them, or declares another, is likely UNKNOWN,
+    which is never accepted.  Null or empty texts, and texts without letters,
+    are not accepted either; their language is what the other evidence says.
+    Null declared languages, suffixes and hosts are no evidence.  Ties go to
+    the language that comes first in the alphabet, UNKNOWN last.  Repeated rows
+    and ids are rows like others, and an empty table gives none.  If no row
+    declares a language, none is known: language is null, nothing accepted.
 
     Plan: a pass for trigram counts by declared language, one that writes each
     row's likelihoods, grouped sums over those; the sums by host are joined by
@@ -200,26 +203,37 @@ def identified(rows: DataFrame, keep: list[str]) -> DataFrame:
     if not known:
         return rows.select(*keep, F.col("_declared").alias("declared"), *[F.lit(None).cast(t).alias(n) for n, t in (("text_lang", "string"), ("language", "string"), ("probability", "double"))], F.lit(False).alias("accepted"))
     model = text_model(rows, known)
-    scored = written(rows.select(*keep, "_declared", "_suffix", "_domain", "_host", scores(model).alias("_ll")), "scored")
+    scored = written(rows.select(F.struct(*keep).alias("row"), "_declared", "_suffix", "_domain", "_host", scores(model).alias("_ll")), "scored")
     out = Evidence(scored, known).fused(scored)
-    return out.select(*keep, F.col("_declared").alias("declared"), "text_lang", "language", "probability", "accepted")
+    return out.select("row.*", F.col("_declared").alias("declared"), "text_lang", "language", "probability", "accepted")
 
 
 def identified_tables(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """Languages of documents (doc_id) and web pages (page_id) together; the other id is null."""
     none = lambda n: F.lit(None).cast("long").alias(n)
     evidence = ["_text", "_declared", "_suffix", "_host", "_domain"]
-    rows = of_documents(docs).select("doc_id", none("page_id"), *evidence).unionByName(of_pages(pages).select(none("doc_id"), "page_id", *evidence))
-    return identified(rows, ["doc_id", "page_id"])
+    a = of_documents(docs.select("doc_id", *_evidence(docs))).select("doc_id", none("page_id"), *evidence)
+    b = of_pages(pages.select("page_id", "url", "html")).select(none("doc_id"), "page_id", *evidence)
+    return identified(a.unionByName(b), ["doc_id", "page_id"])
+
+
+def _evidence(docs: DataFrame) -> list[str]:
+    return [c for c in ("text", "lang", "source") if c in docs.columns]
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is accepted; all columns of ``docs``, unchanged."""
-    rows = of_documents(docs)
+    """The documents whose language is accepted; all columns of ``docs``, whatever their names, unchanged.
+
+    Nulls, empty texts, ties, repeated rows and unknown languages are as for
+    ``identified``; an empty table, or one that declares no language, gives no
+    rows.  The scored documents are written once, so a text goes to Python once
+    for the model and once for its likelihoods; beyond 50,000 hosts they are
+    joined to the hosts by shuffle, texts included.
+    """
+    rows = of_documents(docs.select(F.struct("*").alias("row"), *_evidence(docs)))
     known = languages(rows)
     if not known:
         return docs.limit(0)
     model = text_model(rows, known)
-    scored = rows.withColumn("_ll", scores(model))
-    evidence = Evidence(written(scored.select("_declared", "_suffix", "_domain", "_host", "_ll"), "scored"), known)
-    return evidence.fused(scored).where("accepted").select(docs.columns)
+    scored = written(rows.select("row", "_declared", "_suffix", "_domain", "_host", scores(model).alias("_ll")), "scored")
+    return Evidence(scored, known).fused(scored).where("accepted").select("row.*")
