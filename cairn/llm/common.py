@@ -34,6 +34,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def once(udf):
+    """A function that Spark may not evaluate a second time, in a filter that it moves below the projection."""
+    return udf.asNondeterministic()
+
+
 def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name], F.lit(""))
 

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import ship, text_of
+from .common import once, ship, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of tokens: none, then the kinds.
 LABELS = 1 + len(KINDS)
 #: Rows of the unary table.
 SHAPES = 4096
-#: Rounds of message passing, the share of the old message kept, and the posterior that adds a token.
-ROUNDS, DAMPING, SURE = 12, 0.3, 0.9
+#: Rounds of message passing at most, the share of the old message kept, the change that ends it, and the posterior that adds a token.
+ROUNDS, DAMPING, STILL, SURE = 40, 0.3, 1e-3, 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,7 +88,7 @@ def shape(token: str, before: str) -> int:
     core = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", token)
     core = re.sub(r"[^\W0-9_]+", "a", core)
     word = re.sub(r"[^a-z]", "", before.lower())
-    return zlib.crc32(f"{core[:60]}|{word if word in _CUES else ''}".encode()) % SHAPES
+    return zlib.crc32(f"{core}|{word if word in _CUES else ''}".encode()) % SHAPES
 
 
 #: Words before a token that tell its kind.
@@ -126,18 +126,19 @@ class Tokens:
         self.text = [data[s:e].tobytes().decode() for s, e in zip(starts[at], ends[at], strict=True)]
         prior = np.maximum(at - 1, 0)
         same = (at > 0) & (np.searchsorted(off, starts[prior], "right") - 1 == self.doc)
-        before = [data[starts[p] : min(ends[p], starts[p] + 40)].tobytes().decode(errors="ignore") if ok else "" for p, ok in zip(prior, same, strict=True)]
+        before = [data[starts[p] : ends[p]].tobytes().decode() if ok else "" for p, ok in zip(prior, same, strict=True)]
         self.shape = np.array([shape(t, b) for t, b in zip(self.text, before, strict=True)], np.int64)
         joined = np.flatnonzero((np.diff(at) == 1) & (np.diff(self.doc) == 0))
         self.chain = np.stack([joined, joined + 1], axis=1)
-        last: dict[tuple[int, str], int] = {}
+        # a like token is linked with the first and the last before it, so any two are two steps apart at most
+        last: dict[tuple[int, str], tuple[int, int]] = {}
         skip = set()
         for i, (d, t) in enumerate(zip(self.doc.tolist(), self.text, strict=True)):
             for k in keys(t):
                 j = last.get((d, k))
                 if j is not None:
-                    skip.add((j, i))
-                last[d, k] = i
+                    skip.update([(j[0], i), (j[1], i)])
+                last[d, k] = (i if j is None else j[0], i)
         self.skip = np.array(sorted(skip), np.int64).reshape(-1, 2)
         # texts that may have spans at all
         plus = np.append(0, np.cumsum(data == 43))
@@ -220,7 +221,11 @@ class Field:
                 out = belief[source] - message[back]
                 new = np.logaddexp.reduce(out[:, :, None] + pair, axis=1)
                 new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-                message = DAMPING * message + (1 - DAMPING) * new
+                new = DAMPING * message + (1 - DAMPING) * new
+                still = np.abs(new - message).max() < STILL
+                message = new
+                if still:
+                    break
             np.add.at(unary, target, message)
         unary -= np.logaddexp.reduce(unary, axis=1, keepdims=True)
         return np.exp(unary)
@@ -298,7 +303,12 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with personal data replaced by its kind; n_chars, if there is one, counted again where the text changes."""
+    """The documents, all columns whatever their names, with personal data replaced by its kind; n_chars, if there is one, counted again where the text changes.
+
+    Null and empty texts stay as they are; overlapping spans are one, of the
+    kind that starts first, the longer one of a tie.  Repeated rows are alike.
+    An empty table gives none.
+    """
     field = Field([tuple(r) for r in counted(docs).collect()])
 
     def run(column: pa.Array) -> pa.Array:
@@ -311,9 +321,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     ship(docs.sparkSession)
-    clean = F.arrow_udf(run, "string")(F.col("text"))
-    if "n_chars" not in docs.columns:
-        return docs.withColumn("text", clean)
-    out = docs.withColumn("_clean", clean)
-    changed = ~F.col("_clean").eqNullSafe(F.col("text"))
-    return out.withColumn("n_chars", F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", F.col("_clean")).select(docs.columns)
+    out = docs.select(F.struct("*").alias("row"), once(F.arrow_udf(run, "string"))(F.col("text")).alias("clean"))
+    changed = ~F.col("clean").eqNullSafe(F.col("row.text"))
+    own = {"text": F.col("clean"), "n_chars": F.when(changed, F.length("clean").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
