@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import ship, text_of, written
+from .common import once, ship, text_of, written
 
 #: Words of benchmark items in one automaton; more items make more automata.
 BLOCK_WORDS = 200_000
@@ -210,7 +210,7 @@ def _hit_column(block: list[tuple], width: int, text: Column) -> Column:
             )
         return pa.concat_arrays(parts) if parts else pa.array([], _TYPE)
 
-    return F.arrow_udf(run, "struct<n_words:bigint,spans:array<bigint>,items:array<bigint>>")(text)
+    return once(F.arrow_udf(run, "struct<n_words:bigint,spans:array<bigint>,items:array<bigint>>"))(text)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, name: str = "hit") -> DataFrame:
@@ -224,7 +224,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, name: str = "hi
     A null text has no words.  Items that have no words, and an empty
     benchmark, match nothing; an item with a null id is searched for but not
     named.  Repeated item ids count once.  Rows are neither dropped nor joined,
-    so repeated ids and extra columns stay as they are.
+    so repeated ids and extra columns stay as they are; a column that has the
+    new one's name is an error.
 
     Plan: no shuffle.  The benchmark is read in blocks of bounded size, each an
     automaton that every task streams its texts through.
@@ -232,6 +233,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, name: str = "hi
     ship(docs.sparkSession)
     blocks = _blocks(benchmark)
     names = [f"_{name}_{k}" for k in range(len(blocks))]
+    taken = [c for c in docs.columns if c in (name, *names)]
+    if taken:
+        raise ValueError(f"docs has columns {taken}; choose another name")
     out = docs
     for k, block in enumerate(blocks):
         if k and k % BLOCKS_AT_ONCE == 0:
@@ -256,7 +260,7 @@ def _merged(names: list[str]) -> str:
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 (of the item ids, sorted as strings, comma-joined), contaminated."""
-    hit = hits(docs, benchmark, width, "_hit").select("doc_id", F.col("_hit.*"))
+    hit = hits(docs.select("doc_id", "text"), benchmark, width, "hit").select("doc_id", F.col("hit.*"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return hit.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -295,7 +299,7 @@ def _clean_column(block: list[tuple], width: int, text: Column) -> Column:
         flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.StructArray.from_arrays([flat(words), flat(hits), pa.array(clean, pa.string())], names=["n_words", "n_hit", "clean"])
 
-    return F.arrow_udf(run, "struct<n_words:bigint,n_hit:bigint,clean:string>")(text)
+    return once(F.arrow_udf(run, "struct<n_words:bigint,n_hit:bigint,clean:string>"))(text)
 
 
 def _cut_column(text: Column, spans: Column) -> Column:
@@ -308,26 +312,27 @@ def _cut_column(text: Column, spans: Column) -> Column:
             out.append(_without(t.as_py(), np.array([(x["start"], x["end"]) for x in s])) if s else None)
         return pa.array(out, pa.string())
 
-    return F.arrow_udf(run, "string")(text, spans)
+    return once(F.arrow_udf(run, "string"))(text, spans)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, most: float = 0.5) -> DataFrame:
     """Documents without their hit spans; a document with more than ``most`` of its words hit goes.
 
-    All columns of ``docs``; n_chars, if there is one, is counted again.  A
-    document without hits is unchanged.  With a benchmark of one block, texts
-    go to Python once.
+    All columns of ``docs``, whatever their names; n_chars, if there is one, is
+    counted again where the text changes.  A document without hits is unchanged,
+    so null, empty and repeated rows stay as they are.  An empty table gives
+    none, and an empty benchmark changes nothing.  With a benchmark of one
+    block, texts go to Python once.
     """
     ship(docs.sparkSession)
     blocks = _blocks(benchmark)
+    hit = docs.select(F.struct("*").alias("row"), text_of(docs).alias("text"))
     if len(blocks) == 1:
-        hit = docs.withColumn("_hit", _clean_column(blocks[0], width, text_of(docs)))
+        hit = hit.select("row", _clean_column(blocks[0], width, F.col("text")).alias("hit"))
     else:
-        hit = hits(docs, benchmark, width, "_hit")
-        n_hit = F.aggregate("_hit.spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-        hit = hit.withColumn("_hit", F.struct(F.col("_hit.n_words").alias("n_words"), n_hit.alias("n_hit"), _cut_column(text_of(hit), F.col("_hit.spans")).alias("clean")))
-    hit = hit.where(F.col("_hit.n_hit") <= F.lit(most) * F.col("_hit.n_words"))
-    changed = F.col("_hit.n_hit") > 0
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(changed, F.length("_hit.clean").cast("long")).otherwise(F.col("n_chars")))
-    return hit.withColumn("text", F.when(changed, F.col("_hit.clean")).otherwise(F.col("text"))).select(docs.columns)
+        hit = hits(hit, benchmark, width, "hit")
+        n_hit = F.aggregate("hit.spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
+        hit = hit.select("row", F.struct(F.col("hit.n_words").alias("n_words"), n_hit.alias("n_hit"), _cut_column(F.col("text"), F.col("hit.spans")).alias("clean")).alias("hit"))
+    hit = hit.where(F.col("hit.n_hit") <= F.lit(most) * F.col("hit.n_words"))
+    own = {"text": F.col("hit.clean"), "n_chars": F.length("hit.clean")}
+    return hit.select(*[(F.when(F.col("hit.n_hit") > 0, own[c].cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]) if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
