@@ -100,12 +100,21 @@ def assigned(docs: DataFrame, limit: int) -> DataFrame:
     return out.select("doc_id", F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))
 
 
-def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """Write the rows of ``docs``, all columns, into one folder for each shard, shard=<bits>, one file in each."""
-    rows = _hashed(docs, docs.columns)
-    buckets = directory(written(rows.select("h", "bytes"), "hashes"), limit)
-    out = _placed(rows, buckets, limit).select(*docs.columns, F.concat(F.lit("b"), "shard").alias("shard"))
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, limit: int, path: str) -> str:
+    """Write the rows of ``docs``, all columns, into one folder for each shard, <name>=b<bits>, and return the name: shard, or with underscores after it if ``docs`` has that.
+
+    Null, empty and long texts, and rows that repeat, are dealt as by
+    ``assigned``; an empty table writes no folder.  The rows are written once
+    with their places, so that a lost executor can't number them anew.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = written(docs.select(F.struct("*").alias("row"), hash_bits(docs).alias("h"), size.alias("bytes"), F.monotonically_increasing_id().alias("place")), "hashes")
+    out = _placed(rows, directory(rows.select("h", "bytes"), limit), limit).select(F.concat(F.lit("b"), "shard").alias(name), *[F.col("row")[c].alias(c) for c in docs.columns])
+    out.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 #: The limit of the registered query.
