@@ -36,6 +36,11 @@ def json_text(c: Column, kind: str) -> Column:
     if kind == "string":
         for plain, escaped in _ESCAPES:
             text = F.replace(text, F.lit(plain), F.lit(escaped))
+        rare = text
+        for k in range(32):
+            if chr(k) not in "\n\r\t\b\f":
+                rare = F.replace(rare, F.lit(chr(k)), F.lit(f"\\u{k:04x}"))
+        text = F.when(text.rlike("[\\x00-\\x1f]"), rare).otherwise(text)
         text = F.concat(F.lit('"'), text, F.lit('"'))
     return F.coalesce(text, F.lit("null"))
 
@@ -75,8 +80,11 @@ def portable_label(name: Column, identity: Column, prefix: str) -> Column:
 
 
 def utc_text(c: Column) -> Column:
-    """A timestamp as RFC 3339 text with microseconds and Z."""
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """A timestamp as RFC 3339 text of the instant in UTC, whatever the session's zone, with microseconds and Z; one without a zone is in the session's."""
+    micros = F.unix_micros(c.cast("timestamp"))
+    second = F.floor(micros / F.lit(1_000_000).cast("decimal(20,0)")).cast("long")
+    plain = (F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))).cast("string")
+    return F.concat(F.replace(plain, F.lit(" "), F.lit("T")), F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("Z"))
 
 
 def signed(value: Column, bits: int) -> Column:

@@ -52,8 +52,9 @@ def ordinal_mismatch(rows: DataFrame, by: list[str], order: list, ordinal: str)
 
 
 def outside_extent(rows: DataFrame, extents: DataFrame, key: str, at: str, start: str, size: str) -> DataFrame:
-    """Rows outside [start, start + size) of their key's extent."""
-    return rows.join(extents.select(key, start, size), key).where((F.col(at) < F.col(start)) | (F.col(at) >= F.col(start) + F.col(size)))
+    """Rows not inside [start, start + size) of their key's extent, or without one."""
+    inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(size))
+    return rows.join(extents.select(key, start, size), key, "left").where(~F.coalesce(inside, F.lit(False)))
 
 
 def leakage(tables: dict[str, DataFrame], producers: DataFrame) -> DataFrame:
@@ -79,8 +80,8 @@ def not_in_domain(rows: DataFrame, column: str, domain: tuple[str, ...]) -> Data
 
 
 def id_format(rows: DataFrame, column: str, pattern: str, *parts: str) -> DataFrame:
-    """Rows whose id isn't the format of their parts."""
-    return rows.where(F.col(column) != F.format_string(pattern, *[F.col(p) for p in parts]))
+    """Rows whose id isn't the format of their parts; a null id isn't."""
+    return rows.where(~F.col(column).eqNullSafe(F.format_string(pattern, *[F.col(p) for p in parts])))
 
 
 def cardinality(rows: DataFrame, address: str, functions: DataFrame, kind: str) -> DataFrame:
@@ -88,12 +89,12 @@ def cardinality(rows: DataFrame, address: str, functions: DataFrame, kind: str)
     n = functions.groupBy(F.col("address").alias(address)).agg(F.count("*").alias("at"))
     j = rows.join(n, address, "left").withColumn("at", F.coalesce("at", F.lit(0)))
     said = F.when(F.col("at") == 0, "none").when(F.col("at") == 1, "unique").otherwise("fold")
-    return j.where(F.col(kind) != said)
+    return j.where(~F.col(kind).eqNullSafe(said))
 
 
 def digest_mismatch(rows: DataFrame, body: str, digest: str) -> DataFrame:
     """Rows whose bytes haven't the stored SHA-256."""
-    return rows.where(F.sha2(F.col(body), 256) != F.col(digest))
+    return rows.where(~F.sha2(F.col(body), 256).eqNullSafe(F.col(digest)))
 
 
 def counted(checks: dict[str, DataFrame]) -> DataFrame:

@@ -79,24 +79,40 @@ def name_parts(names: DataFrame) -> DataFrame:
     return names.select("*", owner.alias("owner"), qualifier.alias("qualifier"), role.alias("role"), template(owner).alias("is_template_owner"), template(qualifier).alias("is_template_qualifier"))
 
 
-def pointer_runs(words: DataFrame, low: int, high: int, most: int = 4096) -> DataFrame:
+def pointer_runs(words: DataFrame, low: int, high: int, most: int = 4096, mapped: DataFrame | None = None) -> DataFrame:
     """For each table, the words from its start that point into [low, high), up to the first that doesn't.
 
     words: table_id, slot_index, target; slots count from 0 without holes.
-    Returns table_id, slot_count and termination.
+    mapped, if given: table_id and section_count, the sections that its address
+    is in; a table in none, or in several, has no run.  Returns table_id,
+    slot_count and termination.
     """
     text = (F.col("target") >= low) & (F.col("target") < high)
     g = words.where(F.col("slot_index") < most).groupBy("table_id").agg(F.count("*").alias("n"), F.min(F.when(~text, F.col("slot_index"))).alias("stop"))
-    end = F.when(F.col("stop").isNotNull(), "non_text_word").when(F.col("n") >= most, "max_slots_reached").otherwise("unmapped_word")
-    return g.select("table_id", F.coalesce("stop", "n").cast("long").alias("slot_count"), end.alias("termination"))
+    end = F.when(F.col("stop").isNotNull(), "first_non_text_pointer").when(F.col("n") >= most, "max_slots_reached").otherwise("mapped_section_end")
+    runs = g.select("table_id", F.coalesce("stop", "n").cast("long").alias("slot_count"), end.alias("termination"))
+    if mapped is None:
+        return runs
+    j = mapped.select("table_id", "section_count").join(runs, "table_id", "left")
+    one = F.col("section_count") == 1
+    end = F.when(F.col("section_count") == 0, "unmapped_table_address").when(~one, "ambiguous_table_mapping").otherwise(F.coalesce("termination", F.lit("mapped_section_end")))
+    return j.select("table_id", F.when(one, F.coalesce("slot_count", F.lit(0))).otherwise(0).alias("slot_count"), end.alias("termination"))
 
 
 def boundaries(tables: DataFrame, by: list[str]) -> DataFrame:
     """Tables (table_id, va, slot_count) with the next table's address and how the run stands to it."""
     nxt = F.lead("va").over(Window.partitionBy(*by).orderBy("va", "table_id"))
     out = tables.withColumn("next_va", nxt)
-    end = F.col("va") + 4 * F.col("slot_count")
-    return out.withColumn("boundary", F.when(F.col("next_va").isNull(), "no_next_table").when(end < F.col("next_va"), "ends_before_next").when(end == F.col("next_va"), "ends_at_next").otherwise("crosses_next"))
+    far = F.col("next_va") - F.col("va")
+    at = F.floor(far / 4)
+    relation = (
+        F.when(far.isNull(), "no_later_vftable_symbol")
+        .when(far % 4 != 0, "next_vftable_symbol_unaligned")
+        .when(at < F.col("slot_count"), "next_vftable_inside_pointer_run")
+        .when(at == F.col("slot_count"), "next_vftable_at_pointer_run_end")
+        .otherwise("next_vftable_after_pointer_run")
+    )
+    return out.withColumn("boundary", relation)
 
 
 def fold_groups(records: DataFrame, least: int = 2) -> DataFrame:

@@ -60,12 +60,13 @@ def ambiguous_sets(sets: DataFrame, alternatives: DataFrame) -> DataFrame:
 
 
 def endpoints(claims: DataFrame, functions: DataFrame, targets: DataFrame) -> DataFrame:
-    """Claims with their pc endpoint: a function, or else an unresolved target."""
-    f = functions.select(F.col("function_id").alias("pc_function_id"), F.col("name").alias("f_name"))
-    t = targets.select(F.col("target_id").alias("pc_target_id"), F.col("name_hint").alias("t_name"))
+    """Claims with their pc endpoint: a function, or else an unresolved target; one that is there may have no name."""
+    there = F.lit(True)
+    f = functions.select(F.col("function_id").alias("pc_function_id"), F.col("name").alias("f_name"), there.alias("f_there"))
+    t = targets.select(F.col("target_id").alias("pc_target_id"), F.col("name_hint").alias("t_name"), there.alias("t_there"))
     j = claims.join(f, "pc_function_id", "left").join(t, "pc_target_id", "left")
-    kind = F.when(F.col("f_name").isNotNull(), "function").when(F.col("t_name").isNotNull(), "unresolved_target").otherwise("missing")
-    return j.select(*claims.columns, kind.alias("endpoint_kind"), F.coalesce("f_name", "t_name").alias("endpoint_name"))
+    kind = F.when(F.col("f_there"), "function").when(F.col("t_there"), "unresolved_target").otherwise("missing")
+    return j.select(*claims.columns, kind.alias("endpoint_kind"), F.when(F.col("f_there"), F.col("f_name")).otherwise(F.col("t_name")).alias("endpoint_name"))
 
 
 def legacy_claims(channels: DataFrame) -> DataFrame:
@@ -85,9 +86,9 @@ def resolved_names(claims: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def resolved_many(requests: DataFrame, types: DataFrame) -> DataFrame:
-    """A row for every request, repeated ones too, with its type's rendering and status."""
-    j = requests.join(types.select("type_index", "rendered"), "type_index", "left")
-    return j.withColumn("status", F.when(F.col("rendered").isNull(), "missing_type_record").otherwise("resolved"))
+    """A row for every request, repeated ones too, with its type's rendering and status; a type without a rendering is there all the same."""
+    j = requests.join(types.select("type_index", "rendered", F.lit(True).alias("_there")), "type_index", "left")
+    return j.withColumn("status", F.when(F.col("_there"), "resolved").otherwise("missing_type_record")).drop("_there")
 
 
 def candidate_report(units: list[tuple[str, DataFrame]], leaves: DataFrame, reviewer_id) -> DataFrame:

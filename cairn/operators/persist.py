@@ -27,35 +27,68 @@ def upserted(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def export_plan(accepted: DataFrame) -> DataFrame:
-    """Accepted claims with the reasons that block each, and ``action``.
+#: Address spaces in which a pc function can be patched.
+RUNTIME_SPACES = ("ram", "va")
+
 
-    accepted: claim_id, is_fold, pc_function_id, xbox_function_id, pc_entry,
-    label, manifest_ok.  Claims of one pc entry that name different functions
-    or labels conflict, all of them.
+def export_plan(accepted: DataFrame) -> DataFrame:
+    """Accepted leaves with the reasons that block each, sorted and comma-joined, and ``action``.
+
+    accepted: decision_id, target_kind (hypothesis_set, alternative or claim),
+    xbox_fold_group_id, claim_id, set_pc_function_id, pc_function_id,
+    xbox_function_id; of the endpoints, null where they are missing:
+    pc_platform, pc_program_id, pc_address_space, pc_address, xbox_platform;
+    name_count and name, the distinct primary names of the xbox function; and
+    manifest_ok.  Accepting a set chooses none of its alternatives.  Leaves of
+    one pc entry that name different functions or names conflict, all of them.
     """
+    set_, fold = F.col("target_kind") == "hypothesis_set", (F.col("target_kind") == "alternative") & F.col("xbox_fold_group_id").isNotNull()
+    scalar = ~set_ & ~fold & F.col("claim_id").isNotNull()
+    subject = F.when(scalar, F.col("pc_function_id")).otherwise(F.col("set_pc_function_id"))
+    there = F.col("pc_platform").isNotNull()
+    runtime = F.coalesce(F.col("pc_address_space").isin(*RUNTIME_SPACES), F.lit(False))
+    several = set_ | fold | scalar
+    named = {
+        "hypothesis_set_only_acceptance": set_,
+        "xbox_fold_bundle": fold,
+        "missing_scalar_claim": ~several,
+        "pc_unresolved_endpoint": several & subject.isNull(),
+        "missing_pc_function": several & subject.isNotNull() & ~there,
+        # for a bundle the first of these ends it; for a claim all count
+        "pc_endpoint_wrong_platform": (fold | scalar) & subject.isNotNull() & there & (F.col("pc_platform") != "pc"),
+        "pc_address_space_not_runtime": subject.isNotNull() & there & ~runtime & (scalar | fold & (F.col("pc_platform") == "pc")),
+        "xbox_unresolved_endpoint": scalar & F.col("xbox_function_id").isNull(),
+        "missing_xbox_function": scalar & F.col("xbox_function_id").isNotNull() & F.col("xbox_platform").isNull(),
+        "xbox_endpoint_wrong_platform": scalar & F.col("xbox_function_id").isNotNull() & F.coalesce(F.col("xbox_platform") != "xbox360", F.lit(False)),
+        "alternative_pc_subject_mismatch": scalar & (F.col("target_kind") == "alternative") & ~F.col("set_pc_function_id").eqNullSafe(F.col("pc_function_id")),
+    }
+    rows = accepted.withColumn("_ends", reasons(*[(c, n) for n, c in named.items()]))
+    whole = F.col("_ends") == ""
     own = reasons(
-        (F.col("is_fold"), "xbox_fold_bundle"),
-        (F.col("pc_function_id").isNull(), "pc_unresolved_endpoint"),
-        (F.col("xbox_function_id").isNull() & ~F.col("is_fold"), "xbox_unresolved_endpoint"),
+        *[(c, n) for n, c in named.items()],
+        (whole & (F.col("name_count") == 0), "missing_xbox_name"),
+        (whole & (F.col("name_count") > 1), "ambiguous_xbox_names"),
         (~F.col("manifest_ok"), "provenance_manifest_mismatch"),
     )
-    rows = accepted.withColumn("own", own)
-    per = rows.where("own = ''").groupBy("pc_entry").agg(F.count_distinct("xbox_function_id").alias("destinations"), F.count_distinct("label").alias("labels"))
-    rows = rows.join(per, "pc_entry", "left")
-    clash = F.coalesce((F.col("destinations") > 1) | (F.col("labels") > 1), F.lit(False)) & (F.col("own") == "")
-    why = F.when(clash, "conflicting_destinations").otherwise(F.col("own"))
+    rows = rows.withColumn("_own", own)
+    entry = ["pc_program_id", "pc_address_space", "pc_address"]
+    per = rows.where("_own = ''").groupBy(*entry).agg(F.count_distinct("xbox_function_id").alias("_d"), F.count_distinct("name").alias("_n"))
+    rows = rows.join(per, entry, "left")
+    free = F.col("_own") == ""
+    clash = reasons((free & (F.col("_d") > 1), "conflicting_accepted_destination"), (free & (F.col("_n") > 1), "conflicting_accepted_name"))
+    why = F.when(free, clash).otherwise(F.col("_own"))
     return rows.select(*accepted.columns, why.alias("reasons"), F.when(why == "", "apply").otherwise("blocked").alias("action"))
 
 
 def applied(plan: DataFrame) -> DataFrame:
-    """One action for each pc entry, the lineages that agree on it consolidated."""
-    return plan.where("action = 'apply'").groupBy("pc_entry", "label").agg(F.count("*").alias("lineage_count"), F.min("claim_id").alias("first_claim_id"), F.min("xbox_function_id").alias("xbox_function_id"))
+    """One action for each pc entry, the lineages that agree on it consolidated, under the first decision."""
+    g = plan.where("action = 'apply'").groupBy("pc_program_id", "pc_address_space", "pc_address")
+    return g.agg(F.min("name").alias("name"), F.min("xbox_function_id").alias("xbox_function_id"), F.count("*").alias("lineage_count"), F.min("decision_id").alias("first_decision_id"))
 
 
 def blocked_counts(plan: DataFrame) -> DataFrame:
     one = plan.where("action = 'blocked'").select(F.explode(F.split("reasons", ",")).alias("reason"))
-    return one.groupBy("reason").agg(F.count("*").alias("claim_count"))
+    return one.groupBy("reason").agg(F.count("*").alias("decision_count"))
 
 
 def manifest(entries: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def selected_states(targets: DataFrame, leaves: DataFrame, reviewer_id, release_
     """State and basis of each target for one reviewer and release; a target without that reviewer's leaf is open."""
     own = leaves.where(F.col("reviewer_id") == F.lit(reviewer_id)).select("target_id", "action", "review_release_id")
     out = targets.join(own, "target_id", "left")
-    action, here = F.col("action"), F.col("review_release_id") == F.lit(release_id)
+    action, here = F.col("action"), F.col("review_release_id").eqNullSafe(F.lit(release_id))
     state = F.when(here & (action == "accept"), "accepted").when(here & (action == "reject"), "rejected").when(here & (action == "defer"), "deferred").otherwise("open")
     basis = F.when(action.isNull(), "no_current_decision").when(~here, "current_leaf_from_another_release").otherwise(F.concat(F.lit("current_"), action, F.lit("_in_selected_release")))
     return out.select(*targets.columns, state.alias("state"), basis.alias("basis"))

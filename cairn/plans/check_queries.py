@@ -90,11 +90,11 @@ def check_id_format(t):
     return checks.id_format(t.customer.select("c_custkey", "c_name", (F.col("c_custkey") % 1000).alias("k")), "c_name", "Customer#%09d", "k").select("c_custkey")
 
 
-@register("check_cardinality", "WITH f AS (SELECT p_size * 10 AS a, count(*) AS n FROM part WHERE p_partkey % 30 = 0 GROUP BY 1) SELECT o_orderkey FROM orders LEFT JOIN f ON a = o_custkey % 500 WHERE CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'fold' END <> CASE o_orderstatus WHEN 'F' THEN 'unique' WHEN 'O' THEN 'none' ELSE 'fold' END")
+@register("check_cardinality", "WITH f AS (SELECT p_partkey * p_size % 1499 AS a, count(*) AS n FROM part GROUP BY 1) SELECT o_orderkey FROM orders LEFT JOIN f ON a = o_custkey % 1499 WHERE CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'fold' END <> CASE o_orderstatus WHEN 'F' THEN 'unique' WHEN 'O' THEN 'none' ELSE 'fold' END")
 def check_cardinality(t):
-    functions = t.part.where("p_partkey % 30 = 0").select((F.col("p_size") * 10).cast("long").alias("address"))
+    functions = t.part.select((F.col("p_partkey") * F.col("p_size") % 1499).alias("address"))
     kind = F.when(F.col("o_orderstatus") == "F", "unique").when(F.col("o_orderstatus") == "O", "none").otherwise("fold")
-    return checks.cardinality(t.orders.select("o_orderkey", (F.col("o_custkey") % 500).alias("at_address"), kind.alias("kind")), "at_address", functions, "kind").select("o_orderkey")
+    return checks.cardinality(t.orders.select("o_orderkey", (F.col("o_custkey") % 1499).alias("at_address"), kind.alias("kind")), "at_address", functions, "kind").select("o_orderkey")
 
 
 @register("check_digest", "SELECT doc_id FROM documents WHERE sha256(text) <> sha256(CASE WHEN doc_id % 7 = 0 THEN text || ' ' ELSE text END)")

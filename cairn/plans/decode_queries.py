@@ -72,21 +72,21 @@ def target_kinds(t):
 
 @register(
     "pointer_run",
-    "WITH w AS (SELECT l_suppkey AS table_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS slot_index, l_partkey AS target, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem), s AS (SELECT table_id, least(max(n), 64) AS n, min(slot_index) FILTER (WHERE NOT (target >= 20 AND target < 1990)) AS stop FROM w WHERE slot_index < 64 GROUP BY 1) SELECT table_id, CAST(coalesce(stop, n) AS BIGINT) AS slot_count, CASE WHEN stop IS NOT NULL THEN 'non_text_word' WHEN n >= 64 THEN 'max_slots_reached' ELSE 'unmapped_word' END AS termination FROM s",
+    "WITH w AS (SELECT l_suppkey AS table_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS slot_index, l_partkey AS target, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem), s AS (SELECT table_id, least(max(n), 4096) AS n, min(slot_index) FILTER (WHERE NOT (target >= 20 AND target < 1990)) AS stop FROM w WHERE slot_index < 4096 GROUP BY 1) SELECT table_id, CAST(coalesce(stop, n) AS BIGINT) AS slot_count, CASE WHEN stop IS NOT NULL THEN 'first_non_text_pointer' WHEN n >= 4096 THEN 'max_slots_reached' ELSE 'mapped_section_end' END AS termination FROM s",
 )
 def pointer_run(t):
     from pyspark.sql import Window
 
     at = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
-    return decode.pointer_runs(t.lineitem.select(F.col("l_suppkey").alias("table_id"), at.alias("slot_index"), F.col("l_partkey").alias("target")), 20, 1990, 64)
+    return decode.pointer_runs(t.lineitem.select(F.col("l_suppkey").alias("table_id"), at.alias("slot_index"), F.col("l_partkey").alias("target")), 20, 1990)
 
 
 @register(
     "vftable_boundary",
-    "SELECT s_suppkey AS table_id, va, next_va, CASE WHEN next_va IS NULL THEN 'no_next_table' WHEN va + 4 * n < next_va THEN 'ends_before_next' WHEN va + 4 * n = next_va THEN 'ends_at_next' ELSE 'crosses_next' END AS boundary FROM (SELECT *, lead(va) OVER (PARTITION BY s_nationkey ORDER BY va, s_suppkey) AS next_va FROM (SELECT s_suppkey, s_nationkey, s_suppkey * 16 AS va, s_suppkey % 90 AS n FROM supplier))",
+    "SELECT s_suppkey AS table_id, va, next_va, CASE WHEN next_va IS NULL THEN 'no_later_vftable_symbol' WHEN (next_va - va) % 4 <> 0 THEN 'next_vftable_symbol_unaligned' WHEN (next_va - va) // 4 < n THEN 'next_vftable_inside_pointer_run' WHEN (next_va - va) // 4 = n THEN 'next_vftable_at_pointer_run_end' ELSE 'next_vftable_after_pointer_run' END AS boundary FROM (SELECT *, lead(va) OVER (PARTITION BY s_nationkey ORDER BY va, s_suppkey) AS next_va FROM (SELECT s_suppkey, s_nationkey, s_suppkey * 16 + s_suppkey % 3 // 2 AS va, s_suppkey % 90 AS n FROM supplier))",
 )
 def vftable_boundary(t):
-    rows = t.supplier.select(F.col("s_suppkey").alias("table_id"), "s_nationkey", (F.col("s_suppkey") * 16).alias("va"), (F.col("s_suppkey") % 90).alias("slot_count"))
+    rows = t.supplier.select(F.col("s_suppkey").alias("table_id"), "s_nationkey", (F.col("s_suppkey") * 16 + F.floor(F.col("s_suppkey") % 3 / 2)).alias("va"), (F.col("s_suppkey") % 90).alias("slot_count"))
     return decode.boundaries(rows, ["s_nationkey"]).select("table_id", "va", "next_va", "boundary")
 
 
@@ -111,8 +111,10 @@ def vftable_name_parts(t):
 
 @register(
     "variant_disagreement",
-    "WITH d AS (SELECT l_suppkey AS path, l_linenumber AS name, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS variants FROM lineitem WHERE l_quantity > 49 GROUP BY 1, 2) SELECT l_orderkey, l_suppkey AS path, l_linenumber AS name, l_returnflag AS variant, variants AS declared_variants FROM lineitem JOIN d ON path = l_suppkey AND name = l_linenumber WHERE l_quantity < 3 AND NOT contains(variants, l_returnflag)",
+    "WITH d AS (SELECT p_partkey % 1000 AS path, p_size % 7 + 1 AS name, string_agg(DISTINCT CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END, ',' ORDER BY CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END) AS variants FROM part GROUP BY 1, 2) SELECT l_orderkey, l_suppkey AS path, l_linenumber AS name, l_returnflag AS variant, variants AS declared_variants FROM lineitem JOIN d ON path = l_suppkey AND name = l_linenumber WHERE NOT contains(variants, l_returnflag)",
 )
 def variant_disagreement(t):
-    rows = t.lineitem.select("l_orderkey", "l_quantity", F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("name"), F.col("l_returnflag").alias("variant"))
-    return decode.variant_disagreement(rows.where("l_quantity < 3").drop("l_quantity"), rows.where("l_quantity > 49"))
+    calls = t.lineitem.select("l_orderkey", F.col("l_suppkey").alias("path"), F.col("l_linenumber").alias("name"), F.col("l_returnflag").alias("variant"))
+    variant = F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "N").otherwise("R")
+    return decode.variant_disagreement(calls, t.part.select((F.col("p_partkey") % 1000).alias("path"), (F.col("p_size") % 7 + 1).alias("name"), variant.alias("variant")))
+

@@ -163,7 +163,7 @@ def section_overlap(t):
 # Tables of two builds: suppliers and customers; class: the nation; slots: up to twenty numbers each.
 _VT = """
 pc_t AS (SELECT s_suppkey AS vtable_id, 'c' || s_nationkey || '_' || s_suppkey % 3 AS class_name, CASE WHEN s_acctbal > 5000 THEN 'primary' WHEN s_acctbal > 0 THEN 'secondary' ELSE 'unknown' END AS vfptr_role, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 5 * 4 END AS subobject_offset, s_suppkey % 17 + 2 AS slot_count FROM supplier),
-xbox_t AS (SELECT c_custkey AS vtable_id, 'c' || c_nationkey || '_' || c_custkey % 4 AS class_name, CASE WHEN c_acctbal > 9000 THEN 'primary' WHEN c_acctbal > 6000 THEN 'secondary' ELSE 'unknown' END AS vfptr_role, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 5 * 4 END AS subobject_offset, c_custkey % 13 + 2 AS slot_count FROM customer WHERE c_custkey % 4 = 0 OR c_mktsegment = 'BUILDING'),
+xbox_t AS (SELECT c_custkey AS vtable_id, 'c' || c_nationkey || '_' || c_custkey % 30 AS class_name, CASE WHEN c_acctbal > 9000 THEN 'primary' WHEN c_acctbal > 6000 THEN 'secondary' ELSE 'unknown' END AS vfptr_role, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 5 * 4 END AS subobject_offset, c_custkey % 13 + 2 AS slot_count FROM customer),
 keyed AS (SELECT 'pc' AS side, * FROM pc_t UNION ALL SELECT 'xbox', * FROM xbox_t),
 cnt AS (
   SELECT class_name, vfptr_role, CAST(CASE WHEN vfptr_role = 'primary' THEN 0 ELSE subobject_offset END AS BIGINT) AS subobject_offset,
@@ -182,8 +182,8 @@ pairs AS (SELECT c.pc_vtable_id, c.xbox_vtable_id, p.slot_index, p.target AS pc_
 
 def _vtables(t: Tables):
     pc = t.supplier.selectExpr("s_suppkey AS vtable_id", "concat('c', s_nationkey, '_', s_suppkey % 3) AS class_name", "CASE WHEN s_acctbal > 5000 THEN 'primary' WHEN s_acctbal > 0 THEN 'secondary' ELSE 'unknown' END AS vfptr_role", "CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 5 * 4 END AS subobject_offset", "s_suppkey % 17 + 2 AS slot_count")
-    xbox = t.customer.where("c_custkey % 4 = 0 OR c_mktsegment = 'BUILDING'").selectExpr(
-        "c_custkey AS vtable_id", "concat('c', c_nationkey, '_', c_custkey % 4) AS class_name", "CASE WHEN c_acctbal > 9000 THEN 'primary' WHEN c_acctbal > 6000 THEN 'secondary' ELSE 'unknown' END AS vfptr_role", "CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 5 * 4 END AS subobject_offset", "c_custkey % 13 + 2 AS slot_count"
+    xbox = t.customer.selectExpr(
+        "c_custkey AS vtable_id", "concat('c', c_nationkey, '_', c_custkey % 30) AS class_name", "CASE WHEN c_acctbal > 9000 THEN 'primary' WHEN c_acctbal > 6000 THEN 'secondary' ELSE 'unknown' END AS vfptr_role", "CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 5 * 4 END AS subobject_offset", "c_custkey % 13 + 2 AS slot_count"
     )
     slot = lambda d, k, gap: d.select("vtable_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slot_count") - 1)).alias("slot_index")).where(f"(vtable_id + slot_index) % {gap} <> 0").withColumn("target", F.col("vtable_id") * k + F.col("slot_index"))
     return pc, xbox, slot(pc, 31, 11), slot(xbox, 37, 13)
@@ -216,17 +216,17 @@ def slot_holes(t):
     return alignment.missing_slots(*_pairs(t)).select("pc_vtable_id", "xbox_vtable_id", "slot_index")
 
 
-@register("slot_hypothesis_kinds", "WITH n AS (SELECT CAST(p_size AS BIGINT) AS address, count(*) AS n, min(p_partkey) AS f FROM part WHERE p_partkey % 25 = 0 GROUP BY 1) SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS address, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'exact' ELSE 'fold' END AS kind, CASE WHEN n = 1 THEN f END AS function_id FROM lineitem LEFT JOIN n ON n.address = CAST(l_quantity AS BIGINT)")
+@register("slot_hypothesis_kinds", "WITH n AS (SELECT p_partkey * p_size % 4001 AS address, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1) SELECT l_orderkey, l_linenumber, (l_partkey * 3 + l_linenumber) % 4001 AS address, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'exact' ELSE 'fold' END AS kind, CASE WHEN n = 1 THEN f END AS function_id FROM lineitem LEFT JOIN n ON n.address = (l_partkey * 3 + l_linenumber) % 4001")
 def slot_hypothesis_kinds(t):
-    functions = t.part.where("p_partkey % 25 = 0").select(F.col("p_size").cast("long").alias("address"), F.col("p_partkey").alias("function_id"))
-    return alignment.at_address(t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("address")), functions)
+    functions = t.part.select((F.col("p_partkey") * F.col("p_size") % 4001).alias("address"), F.col("p_partkey").alias("function_id"))
+    return alignment.at_address(t.lineitem.select("l_orderkey", "l_linenumber", ((F.col("l_partkey") * 3 + F.col("l_linenumber")) % 4001).alias("address")), functions)
 
 
-@register("extent_status", "SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'undeclared' WHEN o_orderstatus = 'P' THEN 'declared_incomplete' WHEN n = o_custkey % 7 THEN 'equal' WHEN n < o_custkey % 7 THEN 'shorter' ELSE 'longer' END AS status, count(*) AS table_count FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
+@register("extent_status", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'unassessed_same_platform_declaration_unavailable' WHEN o_orderpriority = '1-URGENT' THEN 'unassessed_no_hole_free_xbox_tpi_map' WHEN n > o_custkey % 7 THEN 'pointer_run_exceeds_hole_free_xbox_tpi_map' WHEN n < o_custkey % 7 THEN 'shorter_than_hole_free_xbox_tpi_map' ELSE 'matches_hole_free_xbox_tpi_map' END AS status, count(*) AS table_count FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1")
 def extent_status(t):
     n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     declared = F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_custkey") % 7)
-    status = alignment.extent_status(F.col("n"), declared, F.col("o_orderstatus") != "P")
+    status = alignment.extent_status(F.when(F.col("o_orderstatus") == "P", "pc").otherwise("xbox360"), F.col("n"), declared)
     return t.orders.join(n, "o_orderkey").select(status.alias("status")).groupBy("status").agg(F.count("*").alias("table_count"))
 
 
@@ -248,33 +248,57 @@ def hole_free_tables(t):
     return alignment.hole_free(t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("slot_index")), "l_orderkey")
 
 
-# Accepted claims: parts; the pc entry is the price in tenths.
+# Accepted leaves: lines, at the part's entry; claims, alternatives and sets by line number.
 _EXPORT = """
 accepted AS (
-  SELECT p_partkey AS claim_id, p_size > 45 AS is_fold, CASE WHEN p_size <> 1 THEN p_partkey % 700 END AS pc_function_id, CASE WHEN p_size <> 2 THEN p_partkey % 900 END AS xbox_function_id, p_partkey % 700 AS pc_entry, p_name AS label, p_type <> 'PROMO' AS manifest_ok FROM part),
+  SELECT l_orderkey * 10 + l_linenumber AS decision_id, CASE WHEN l_linenumber = 7 THEN 'hypothesis_set' WHEN l_linenumber > 4 THEN 'alternative' ELSE 'claim' END AS target_kind,
+    CASE WHEN l_linenumber = 6 THEN l_suppkey END AS xbox_fold_group_id, CASE WHEN l_quantity <> 1 THEN l_orderkey END AS claim_id,
+    CASE WHEN l_quantity <> 2 THEN p_partkey END AS set_pc_function_id, CASE WHEN l_quantity = 3 THEN NULL WHEN l_quantity = 4 THEN 0 ELSE p_partkey END AS pc_function_id, CASE WHEN l_quantity <> 5 THEN l_partkey * 7 + CASE WHEN l_tax > 0.079 THEN 1 ELSE 0 END END AS xbox_function_id,
+    CASE WHEN p_size = 1 THEN NULL WHEN p_size = 2 THEN 'xbox360' ELSE 'pc' END AS pc_platform, p_size % 2 AS pc_program_id, CASE WHEN p_size = 3 THEN 'file' ELSE 'ram' END AS pc_address_space, p_partkey AS pc_address,
+    CASE WHEN p_size = 4 THEN NULL WHEN p_size = 5 THEN 'pc' ELSE 'xbox360' END AS xbox_platform, CASE l_quantity WHEN 6 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS name_count, CASE WHEN l_discount > 0.099 THEN p_brand ELSE p_name END AS name, l_quantity <> 8 AS manifest_ok
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+k AS (SELECT *, target_kind = 'hypothesis_set' AS s, target_kind = 'alternative' AND xbox_fold_group_id IS NOT NULL AS f FROM accepted),
+e AS (SELECT *, NOT s AND NOT f AND claim_id IS NOT NULL AS c, CASE WHEN NOT s AND NOT f AND claim_id IS NOT NULL THEN pc_function_id ELSE set_pc_function_id END AS subject FROM k),
+ends AS (
+  SELECT *, list_distinct([
+    CASE WHEN c AND target_kind = 'alternative' AND set_pc_function_id IS DISTINCT FROM pc_function_id THEN 'alternative_pc_subject_mismatch' END, CASE WHEN s THEN 'hypothesis_set_only_acceptance' END,
+    CASE WHEN (s OR f OR c) AND subject IS NOT NULL AND pc_platform IS NULL THEN 'missing_pc_function' END, CASE WHEN NOT (s OR f OR c) THEN 'missing_scalar_claim' END,
+    CASE WHEN c AND xbox_function_id IS NOT NULL AND xbox_platform IS NULL THEN 'missing_xbox_function' END,
+    CASE WHEN subject IS NOT NULL AND pc_platform IS NOT NULL AND pc_address_space NOT IN ('ram', 'va') AND (c OR f AND pc_platform = 'pc') THEN 'pc_address_space_not_runtime' END,
+    CASE WHEN (f OR c) AND subject IS NOT NULL AND pc_platform <> 'pc' THEN 'pc_endpoint_wrong_platform' END, CASE WHEN (s OR f OR c) AND subject IS NULL THEN 'pc_unresolved_endpoint' END,
+    CASE WHEN c AND xbox_function_id IS NOT NULL AND xbox_platform <> 'xbox360' THEN 'xbox_endpoint_wrong_platform' END, CASE WHEN f THEN 'xbox_fold_bundle' END, CASE WHEN c AND xbox_function_id IS NULL THEN 'xbox_unresolved_endpoint' END]) AS ends FROM e),
 own AS (
-  SELECT *, concat_ws(',', CASE WHEN pc_function_id IS NULL THEN 'pc_unresolved_endpoint' END, CASE WHEN NOT manifest_ok THEN 'provenance_manifest_mismatch' END, CASE WHEN is_fold THEN 'xbox_fold_bundle' END, CASE WHEN xbox_function_id IS NULL AND NOT is_fold THEN 'xbox_unresolved_endpoint' END) AS own FROM accepted),
+  SELECT *, array_to_string(list_sort(list_concat(ends, list_distinct([CASE WHEN len(ends) = 0 AND name_count = 0 THEN 'missing_xbox_name' END, CASE WHEN len(ends) = 0 AND name_count > 1 THEN 'ambiguous_xbox_names' END, CASE WHEN NOT manifest_ok THEN 'provenance_manifest_mismatch' END]))), ',') AS own FROM ends),
 plan AS (
-  SELECT o.*, CASE WHEN own = '' AND (d > 1 OR n > 1) THEN 'conflicting_destinations' ELSE own END AS reasons
-  FROM own o LEFT JOIN (SELECT pc_entry, count(DISTINCT xbox_function_id) AS d, count(DISTINCT label) AS n FROM own WHERE own = '' GROUP BY 1) c USING (pc_entry))
+  SELECT o.*, CASE WHEN own <> '' THEN own WHEN d > 1 AND n > 1 THEN 'conflicting_accepted_destination,conflicting_accepted_name' WHEN d > 1 THEN 'conflicting_accepted_destination' WHEN n > 1 THEN 'conflicting_accepted_name' ELSE '' END AS reasons
+  FROM own o LEFT JOIN (SELECT pc_program_id, pc_address_space, pc_address, count(DISTINCT xbox_function_id) AS d, count(DISTINCT name) AS n FROM own WHERE own = '' GROUP BY ALL) c USING (pc_program_id, pc_address_space, pc_address))
 """
 
 
 def _plan(t: Tables) -> DataFrame:
-    return persist.export_plan(t.part.selectExpr("p_partkey AS claim_id", "p_size > 45 AS is_fold", "CASE WHEN p_size <> 1 THEN p_partkey % 700 END AS pc_function_id", "CASE WHEN p_size <> 2 THEN p_partkey % 900 END AS xbox_function_id", "p_partkey % 700 AS pc_entry", "p_name AS label", "p_type <> 'PROMO' AS manifest_ok"))
-
-
-@register("export_plan", f"WITH {_EXPORT} SELECT claim_id, pc_entry, reasons, CASE WHEN reasons = '' THEN 'apply' ELSE 'blocked' END AS action FROM plan")
+    lines = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    return persist.export_plan(
+        lines.selectExpr(
+            "l_orderkey * 10 + l_linenumber AS decision_id", "CASE WHEN l_linenumber = 7 THEN 'hypothesis_set' WHEN l_linenumber > 4 THEN 'alternative' ELSE 'claim' END AS target_kind",
+            "CASE WHEN l_linenumber = 6 THEN l_suppkey END AS xbox_fold_group_id", "CASE WHEN l_quantity <> 1 THEN l_orderkey END AS claim_id",
+            "CASE WHEN l_quantity <> 2 THEN p_partkey END AS set_pc_function_id", "CASE WHEN l_quantity = 3 THEN NULL WHEN l_quantity = 4 THEN 0 ELSE p_partkey END AS pc_function_id", "CASE WHEN l_quantity <> 5 THEN l_partkey * 7 + CASE WHEN l_tax > 0.079 THEN 1 ELSE 0 END END AS xbox_function_id",
+            "CASE WHEN p_size = 1 THEN NULL WHEN p_size = 2 THEN 'xbox360' ELSE 'pc' END AS pc_platform", "p_size % 2 AS pc_program_id", "CASE WHEN p_size = 3 THEN 'file' ELSE 'ram' END AS pc_address_space", "p_partkey AS pc_address",
+            "CASE WHEN p_size = 4 THEN NULL WHEN p_size = 5 THEN 'pc' ELSE 'xbox360' END AS xbox_platform", "CASE l_quantity WHEN 6 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS name_count", "CASE WHEN l_discount > 0.099 THEN p_brand ELSE p_name END AS name", "l_quantity <> 8 AS manifest_ok",
+        )
+    )
+
+
+@register("export_plan", f"WITH {_EXPORT} SELECT decision_id, pc_address, reasons, CASE WHEN reasons = '' THEN 'apply' ELSE 'blocked' END AS action FROM plan")
 def export_plan(t):
-    return _plan(t).select("claim_id", "pc_entry", "reasons", "action")
+    return _plan(t).select("decision_id", "pc_address", "reasons", "action")
 
 
-@register("export_plan_actions", f"WITH {_EXPORT} SELECT pc_entry, label, count(*) AS lineage_count, min(claim_id) AS first_claim_id, min(xbox_function_id) AS xbox_function_id FROM plan WHERE reasons = '' GROUP BY 1, 2")
+@register("export_plan_actions", f"WITH {_EXPORT} SELECT pc_program_id, pc_address_space, pc_address, min(name) AS name, min(xbox_function_id) AS xbox_function_id, count(*) AS lineage_count, min(decision_id) AS first_decision_id FROM plan WHERE reasons = '' GROUP BY 1, 2, 3")
 def export_plan_actions(t):
     return persist.applied(_plan(t))
 
 
-@register("export_plan_blocked", f"WITH {_EXPORT} SELECT reason, count(*) AS claim_count FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM plan WHERE reasons <> '') GROUP BY 1")
+@register("export_plan_blocked", f"WITH {_EXPORT} SELECT reason, count(*) AS decision_count FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM plan WHERE reasons <> '') GROUP BY 1")
 def export_plan_blocked(t):
     return persist.blocked_counts(_plan(t))
 
@@ -284,11 +308,11 @@ def portable_labels(t):
     return t.part.select("p_partkey", expr.portable_label(F.concat_ws("  ", "p_brand", "p_name"), F.col("p_partkey").cast("string"), "EX").alias("label"))
 
 
-_HALVES = "old AS (SELECT o_orderkey AS id, o_orderstatus AS a, o_orderpriority AS b FROM orders WHERE o_orderkey % 2 = 0), new AS (SELECT o_custkey * 20 AS id, min(o_orderstatus) AS a, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE min(o_orderpriority) END AS b FROM orders GROUP BY o_custkey)"
+_HALVES = "old AS (SELECT o_orderkey AS id, o_orderstatus AS a, o_orderpriority AS b FROM orders), new AS (SELECT o_custkey * 20 AS id, min(o_orderstatus) AS a, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE min(o_orderpriority) END AS b FROM orders GROUP BY o_custkey)"
 
 
 def _halves(t: Tables):
-    old = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"))
+    old = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("a"), F.col("o_orderpriority").alias("b"))
     new = t.orders.groupBy("o_custkey").agg(F.min("o_orderstatus").alias("a"), F.min("o_orderpriority").alias("b"))
     return new.select((F.col("o_custkey") * 20).alias("id"), "a", F.when(F.col("o_custkey") % 5 != 0, F.col("b")).alias("b")), old
 

@@ -91,9 +91,9 @@ def successor_violations(t):
     return review.successor_violations(decisions(t))
 
 
-@register("root_violations", "SELECT user_id AS reviewer_id, CAST(floor(value) AS BIGINT) % 50 AS target_id, count(*) AS roots FROM events WHERE event_id % 4 = 0 GROUP BY ALL HAVING count(*) > 1")
+@register("root_violations", "SELECT user_id AS reviewer_id, CAST(floor(value) AS BIGINT) % 50 AS target_id, count(*) AS roots FROM events GROUP BY ALL HAVING count(*) > 1")
 def root_violations(t):
-    rows = t.events.where("event_id % 4 = 0").select(F.col("user_id").alias("reviewer_id"), (F.floor("value") % 50).alias("target_id"), F.lit(None).cast("long").alias("previous_decision_id"))
+    rows = t.events.select(F.col("user_id").alias("reviewer_id"), (F.floor("value") % 50).alias("target_id"), F.lit(None).cast("long").alias("previous_decision_id"))
     return review.root_violations(rows)
 
 

@@ -159,12 +159,61 @@ def test_contiguity(spark):
     assert rows(checks.not_contiguous(df, ["g"], "p"), "g") == [("gap",), ("twice",)]
 
 
-def test_export_conflicts_block_all_lineages(spark):
-    kind = "claim_id long, is_fold boolean, pc_function_id long, xbox_function_id long, pc_entry long, label string, manifest_ok boolean"
-    df = spark.createDataFrame([(1, False, 1, 5, 10, "a", True), (2, False, 1, 6, 10, "a", True), (3, False, 2, 7, 11, "b", True), (4, False, 2, 7, 11, "b", True), (5, True, 3, None, 12, "c", False)], kind)
-    plan = persist.export_plan(df)
-    assert rows(plan, "claim_id", "reasons") == [(1, "conflicting_destinations"), (2, "conflicting_destinations"), (3, ""), (4, ""), (5, "provenance_manifest_mismatch,xbox_fold_bundle")]
-    assert rows(persist.applied(plan), "pc_entry", "lineage_count") == [(11, 2)]
+def test_export_plan(spark):
+    base = {"decision_id": 0, "target_kind": "claim", "xbox_fold_group_id": None, "claim_id": 1, "set_pc_function_id": 1, "pc_function_id": 1, "xbox_function_id": 5, "pc_platform": "pc", "pc_program_id": "p", "pc_address_space": "ram", "pc_address": 10, "xbox_platform": "xbox360", "name_count": 1, "name": "a", "manifest_ok": True}
+    cases = [
+        ({}, "conflicting_accepted_destination"),
+        ({"xbox_function_id": 6}, "conflicting_accepted_destination"),
+        ({"pc_address": 11}, ""),
+        ({"pc_address": 11}, ""),
+        ({"pc_address": 12, "name": "x"}, "conflicting_accepted_name"),
+        ({"pc_address": 12, "name": "y"}, "conflicting_accepted_name"),
+        ({"target_kind": "hypothesis_set", "set_pc_function_id": None}, "hypothesis_set_only_acceptance,pc_unresolved_endpoint"),
+        ({"target_kind": "alternative", "xbox_fold_group_id": 3, "pc_platform": "xbox360", "pc_address_space": "file", "manifest_ok": False}, "pc_endpoint_wrong_platform,provenance_manifest_mismatch,xbox_fold_bundle"),
+        ({"target_kind": "alternative", "set_pc_function_id": 2}, "alternative_pc_subject_mismatch"),
+        ({"claim_id": None}, "missing_scalar_claim"),
+        ({"pc_platform": "xbox360", "pc_address_space": "file"}, "pc_address_space_not_runtime,pc_endpoint_wrong_platform"),
+        ({"pc_platform": None, "xbox_platform": None}, "missing_pc_function,missing_xbox_function"),
+        ({"pc_function_id": None, "xbox_function_id": None}, "pc_unresolved_endpoint,xbox_unresolved_endpoint"),
+        ({"xbox_platform": "pc"}, "xbox_endpoint_wrong_platform"),
+        ({"name_count": 0, "name": None}, "missing_xbox_name"),
+        ({"name_count": 2, "manifest_ok": False}, "ambiguous_xbox_names,provenance_manifest_mismatch"),
+    ]
+    kind = "decision_id long, target_kind string, xbox_fold_group_id long, claim_id long, set_pc_function_id long, pc_function_id long, xbox_function_id long, pc_platform string, pc_program_id string, pc_address_space string, pc_address long, xbox_platform string, name_count long, name string, manifest_ok boolean"
+    plan = persist.export_plan(spark.createDataFrame([tuple((base | c | {"decision_id": k}).values()) for k, (c, _) in enumerate(cases)], kind))
+    assert rows(plan, "decision_id", "reasons") == [(k, r) for k, (_, r) in enumerate(cases)]
+    assert rows(persist.applied(plan), "pc_address", "lineage_count", "first_decision_id") == [(11, 2, 2)]
+
+
+def test_values_that_nulls_and_zones_change(spark):
+    leaves = spark.createDataFrame([(1, 7, "accept", None), (2, 7, "accept", 5)], "target_id long, reviewer_id long, action string, review_release_id long")
+    got = review.selected_states(spark.createDataFrame([(1,), (2,)], "target_id long"), leaves, 7, 5)
+    assert rows(got, "target_id", "basis") == [(1, "current_leaf_from_another_release"), (2, "current_accept_in_selected_release")]
+    functions, targets = spark.createDataFrame([(1, None)], "function_id long, name string"), spark.createDataFrame([(9, None)], "target_id long, name_hint string")
+    claims = spark.createDataFrame([(1, 1, None), (2, None, 9), (3, 8, None)], "claim_id long, pc_function_id long, pc_target_id long")
+    assert rows(lookup.endpoints(claims, functions, targets), "claim_id", "endpoint_kind") == [(1, "function"), (2, "unresolved_target"), (3, "missing")]
+    types = spark.createDataFrame([(1, None)], "type_index long, rendered string")
+    assert rows(lookup.resolved_many(spark.createDataFrame([(1,), (2,)], "type_index long"), types), "type_index", "status") == [(1, "resolved"), (2, "missing_type_record")]
+    assert rows(checks.id_format(spark.createDataFrame([(None, 1), ("k1", 1)], "id string, n long"), "id", "k%d", "n"), "n") == [(1,)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([("2020-01-01T00:00:00.000001Z",), ("1969-12-31T23:59:59.5Z",), ("2021-11-07T05:30:00Z",), ("2021-11-07T06:30:00Z",)], "t string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert [r[0] for r in df.select(expr.utc_text(F.col("t").cast("timestamp"))).collect()] == ["2020-01-01T00:00:00.000001Z", "1969-12-31T23:59:59.500000Z", "2021-11-07T05:30:00.000000Z", "2021-11-07T06:30:00.000000Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_json_text_escapes_all_controls(spark):
+    text = "".join(map(chr, range(1, 40))) + "\\é\x7f"
+    assert spark.createDataFrame([(text,)], "t string").select(expr.json_text(F.col("t"), "string")).first()[0] == json.dumps(text, ensure_ascii=False)
+
+
+def test_pointer_run_terminations(spark):
+    words = spark.createDataFrame([(1, 0, 50), (1, 1, 5), (2, 0, 50), (3, 0, 50), (4, 0, 50)], "table_id long, slot_index long, target long")
+    mapped = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 2), (5, 1)], "table_id long, section_count long")
+    got = decode.pointer_runs(words, 10, 100, mapped=mapped)
+    assert rows(got, "table_id", "slot_count", "termination") == [(1, 1, "first_non_text_pointer"), (2, 1, "mapped_section_end"), (3, 0, "unmapped_table_address"), (4, 0, "ambiguous_table_mapping"), (5, 0, "mapped_section_end")]
 
 
 def test_names_stay_alternatives(spark):
