@@ -20,6 +20,31 @@ def unmatched(rows: DataFrame, other: DataFrame, keys: list[str], columns: list[
     return a.join(b, same, "left_anti")
 
 
+def unlike(rows: DataFrame, parent: DataFrame, keys: dict[str, str], same: list[str]) -> DataFrame:
+    """Rows whose parent (own key to the parent's) isn't there, or has another value in one of the columns, nulls equal to nulls."""
+    p = parent.select(*[F.col(b).alias(f"_k{n}") for n, b in enumerate(keys.values())], *[F.col(c).alias(f"_s{n}") for n, c in enumerate(same)], F.lit(True).alias("_there"))
+    on = [F.col(a) == F.col(f"_k{n}") for n, a in enumerate(keys)]
+    equal = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_s{n}")) for n, c in enumerate(same)], F.coalesce("_there", F.lit(False)))
+    return rows.join(p, on, "left").where(~equal).select(*rows.columns)
+
+
+def any_of(arms: list[DataFrame], key: str) -> DataFrame:
+    """The keys of rows that break one of several rules, once for each table row and arm's own key column."""
+    return reduce(DataFrame.unionByName, [a.select(F.col(a.columns[0]).alias(key)) for a in arms]).distinct()
+
+
+def written_by(tables: dict[str, DataFrame], producers: DataFrame) -> DataFrame:
+    """table_name, provenance_id of rows of tables that given producers must not write to."""
+    own = producers.select("provenance_id").distinct()
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), "provenance_id").join(own, "provenance_id", "left_semi").select("table_name", "provenance_id") for name, df in tables.items()])
+
+
+def broken_order(rows: DataFrame, by: list[str], ordinal: str) -> DataFrame:
+    """Groups whose ordinals don't run from 0 to the number of rows less one."""
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi"))
+    return g.where(~(F.col("lo").eqNullSafe(F.lit(0)) & F.col("hi").eqNullSafe(F.col("n") - 1))).select(*by)
+
+
 def not_in(rows: DataFrame, other: DataFrame) -> DataFrame:
     """Distinct rows that ``other`` hasn't."""
     return rows.subtract(other)

@@ -138,3 +138,7 @@ def review_action_outside_domain(c):
 def violations(catalog: Catalog, names: list[str] | None = None) -> DataFrame:
     """check, violations: a row for each check, in one job; all zero for a valid graph."""
     return checks.counted({n: CHECKS[n](catalog) for n in names or CHECKS})
+
+
+# the modules name their checks when they are imported
+from cairn.plans import validation_flow, validation_slots, validation_types  # noqa: E402, F401
