@@ -119,10 +119,15 @@ def scores(model: np.ndarray) -> Column:
     return F.arrow_udf(run, "array<double>")(F.col("_text"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    shifted = lambda v: _let(F.array_max(v), lambda top: F.transform(v, lambda y: F.exp(y - top)))
+    return _let(x, lambda v: _let(shifted(v), lambda e: _let(total(e), lambda t: F.transform(e, lambda y: y / t))))
 
 
 class Evidence:
@@ -175,10 +180,9 @@ class Evidence:
         host = F.zip_with(others, "_base", lambda x, y: F.log(x + PULL * y))
         prior = F.coalesce(host, F.transform(F.coalesce("sp", self.whole), lambda v: F.log(v)))
         joint = F.zip_with(F.zip_with(ll, prior, lambda x, y: x + y), F.coalesce("_declared_ll", F.transform(ll, lambda v: v * 0)), lambda x, y: x + y)
-        rows = rows.withColumn("_post", _softmax(joint))
-        best = F.array_position("_post", F.array_max("_post")).cast("int")
-        text_best = F.array_position(ll, F.array_max(ll)).cast("int")
-        rows = rows.withColumn("probability", F.array_max("_post")).withColumn("language", F.get(names, best - 1)).withColumn("text_lang", F.when(F.get("_ll", F.lit(size)) > 0, F.get(names, text_best - 1)))
+        best = lambda v: F.struct(F.array_max(v).alias("p"), F.array_position(v, F.array_max(v)).cast("int").alias("at"))
+        rows = rows.withColumn("_best", _let(_softmax(joint), best)).withColumn("_text_best", _let(ll, best)["at"])
+        rows = rows.withColumn("probability", F.col("_best.p")).withColumn("language", F.get(names, F.col("_best.at") - 1)).withColumn("text_lang", F.when(F.get("_ll", F.lit(size)) > 0, F.get(names, F.col("_text_best") - 1)))
         accepted = (F.col("probability") >= ACCEPT) & (F.get("_ll", F.lit(size)) > 0) & (F.col("language") != UNKNOWN)
         return rows.withColumn("accepted", accepted)
 
