@@ -113,3 +113,30 @@ def row_digests(rows: DataFrame, by: str, order: list[str], columns: list[str])
     text = F.concat_ws("", *[F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")) for c in (F.coalesce(F.col(n).cast("string"), F.lit("")) for n in columns)])
     g = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("_text")))).alias("r"))
     return g.select(by, F.size("r").cast("long").alias("row_count"), F.sha2(F.array_join(F.transform("r", lambda x: x["_text"]), ""), 256).alias("digest"))
+
+
+def altered_manifests(manifests: DataFrame, entries: DataFrame) -> DataFrame:
+    """Manifests (manifest_id, canonical_json) whose id isn't the digest of their text, or whose text doesn't list just their entries in order."""
+    kind = "struct<entries:array<struct<role:string,logical_name:string,content_id:string>>>"
+    own = entries.groupBy("manifest_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "role", "logical_name", "content_id"))), lambda x: F.struct(x["role"], x["logical_name"], x["content_id"])).alias("held"))
+    j = manifests.join(own, "manifest_id", "left").withColumn("said", F.from_json("canonical_json", kind)["entries"])
+    plain = lambda c: F.transform(c, lambda x: F.concat_ws("\t", x["role"], x["logical_name"], x["content_id"]))
+    held = F.transform(F.coalesce("held", F.array()), lambda x: F.concat_ws("\t", x["role"], x["logical_name"], x["content_id"]))
+    good = F.col("manifest_id").endswith(F.sha2("canonical_json", 256)) & (plain(F.col("said")) == held)
+    return j.where(~F.coalesce(good, F.lit(False))).select("manifest_id")
+
+
+def write_tagged(parts: dict[str, DataFrame], path: str) -> None:
+    """Rows of several tables as JSON lines, each with its ``record`` tag first, by tag and then as the tables are sorted; Spark's writer, so a lost executor repeats its task."""
+    made = []
+    for k, (tag, df) in enumerate(sorted(parts.items())):
+        text = F.to_json(F.struct(F.lit(tag).alias("record"), *[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+        made.append(df.select(F.lit(k).alias("_k"), text.alias("value")))
+    rows = reduce(DataFrame.unionByName, made)
+    rows.repartitionByRange("_k", "value").sortWithinPartitions("_k", "value").select("value").write.text(path)
+
+
+def private_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, rows of private tables that aren't empty: nothing may be published with one."""
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts).where("rows > 0")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +148,39 @@ def status_counts(leaves: DataFrame) -> DataFrame:
 def chained(events: DataFrame, by: list[str], order: list[str], key: str) -> DataFrame:
     """Events as chains: each row with the id of the one before it in its group."""
     return events.withColumn("previous_decision_id", F.lag(key).over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def flags(index: DataFrame) -> DataFrame:
+    """A triage index with the flags of its units: what they have, and three counts."""
+    many, fold, open_ = F.col("alternative_count") > 1, F.col("has_fold") == 1, F.col("has_unresolved") == 1
+    return index.select(
+        "*",
+        (F.col("contradicting_count") > 0).alias("has_contradicting_evidence"),
+        (F.col("directional_count") > 0).alias("has_directional_evidence"),
+        many.alias("has_multiple_alternatives"),
+        fold.alias("has_fold_bundle"),
+        (F.col("has_empty_fold") == 1).alias("has_empty_fold_bundle"),
+        open_.alias("has_unresolved_endpoint"),
+        ((F.col("alternative_count") == 1) & ~fold & ~open_).alias("has_exact_scalar_topology"),
+    )
+
+
+def several_leaves(leaves: DataFrame) -> DataFrame:
+    """Targets for which a reviewer has more than one current leaf: a store that has one is broken."""
+    return leaves.groupBy("reviewer_id", "target_id").agg(F.count("*").alias("leaf_count")).where("leaf_count > 1")
+
+
+def encoded_cursor(value: dict) -> str:
+    """A page's cursor: canonical JSON in URL-safe base 64 without padding."""
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+
+
+def decoded_cursor(text: str) -> dict:
+    try:
+        value = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)).decode())
+    except ValueError as e:
+        raise ValueError("invalid cursor") from e
+    if not isinstance(value, dict):
+        raise ValueError("invalid cursor")
+    return value
