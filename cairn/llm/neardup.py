@@ -170,13 +170,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = written(rows.join(shared, "key"), "bands")
     fame = rows.groupBy("node").agg(F.sum("size").alias("fame"))
-    hubs = rows.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("hub"), "n")).alias("h"))
-    hubs = written(hubs.select("key", (-F.col("h.hub")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
-    pairs = rows.join(hubs, "key").where(f"node <> hub AND {den} * least(n, hub_n) >= {num} * greatest(n, hub_n)")
-    pairs = written(_likely(pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), nodes, num / den - 0.55), "pairs")
-    star = written(_measured(pairs, shingle_sets(docs, _ends(pairs), width)), "measured")
-    edges = star.where(f"{den} * common >= {num} * (na + nb - common)").select("a", "b")
-    edges = edges.unionByName(_leftover(docs, nodes, several, rows, hubs, star, edges, width, num, den))
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    if not rows.isEmpty():
+        hubs = rows.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("hub"), "n")).alias("h"))
+        hubs = written(hubs.select("key", (-F.col("h.hub")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+        pairs = rows.join(hubs, "key").where(f"node <> hub AND {den} * least(n, hub_n) >= {num} * greatest(n, hub_n)")
+        pairs = written(_likely(pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), nodes, num / den - 0.55), "pairs")
+        star = written(_measured(pairs, shingle_sets(docs, _ends(pairs), width)), "measured")
+        edges = star.where(f"{den} * common >= {num} * (na + nb - common)").select("a", "b")
+        edges = edges.unionByName(_leftover(docs, nodes, several, rows, hubs, star, edges, width, num, den))
 
     # documents with several texts: their nodes belong together
     repeats = sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y"), F.min("k2").alias("z"), F.max("k2").alias("w")).where("x <> y OR z <> w").select("doc_id")
@@ -220,6 +222,8 @@ def _leftover(docs, nodes, several, rows, hubs, star, edges, width: int, num: in
     split = rows.join(parts, "node", "left").select("key", "band", "node", "n", "size", F.coalesce("component", "node").alias("part"))
     mixed = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     split = written(split.join(mixed, "key").join(hubs.select("key", "hub"), "key").join(several.withColumn("more", F.lit(True)), "node", "left"), "split")
+    if split.isEmpty():
+        return edges.limit(0)
     sets = written(shingle_sets(docs, split.select("node").distinct(), width), "sets")
     for _ in range(2):
         once = _items(sets).groupBy("item").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
