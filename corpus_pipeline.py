@@ -11,27 +11,27 @@ from cairn.llm.common import shared
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure enough, by text, declared language and source."""
+    """Documents whose language is sure enough, by text, declared language and source; empty and null texts, and those without letters, go."""
     return langid.accepted_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, of similarity 0.8 or more."""
+    """One document of each group of near copies, of similarity 0.8 or more: the one with the smallest doc_id. Rows of one id go or stay together."""
     return neardup.deduplicated(docs, num=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark; those that are mostly such passages go."""
+    """Documents without passages of the benchmark; those that are mostly such passages go. An empty benchmark changes nothing."""
     return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null and empty texts stay as they are."""
     return pii.redacted(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, and whether decoding gives its text again."""
+    """Piece ids of each document, and whether decoding gives its text again; a null or empty text has none."""
     import public_tokenizers
 
     return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -50,6 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after the other over ``documents``, each written to the shared folder and read again.
+
+    All but the last keep the columns of their input, whatever their names, and
+    rows stand for themselves but for near copies and repeated ids.  Nulls in
+    any column, empty and very long texts, and an empty table go through; see
+    the stages for what becomes of them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
