@@ -4,7 +4,8 @@ import datetime
 
 import pytest
 
-from cairn.plans import documents
+from cairn.operators import matching
+from cairn.plans import documents, matcher_inputs
 
 from .test_families import BASE, Small
 
@@ -68,3 +69,28 @@ def test_targets_sources_and_reviews(spark, small):
     out = documents.review_records(small, ids(spark, "hypothesis_set_id", "h"), "hypothesis_set_id").orderBy("decision_id").collect()
     assert [(r["decision_id"], r["display_name"], r["action"], r["release_name"]) for r in out] == [("d2", "R", "accept", "one"), ("d3", "Q", "reject", None)]
     assert BASE["programs"]
+
+
+def test_matcher_inputs(spark):
+    changed = {
+        "provenance": [{"provenance_id": "v", "producer": "other"}, {"provenance_id": "m", "producer": "matcher"}],
+        "unresolved_targets": [{"target_id": "t", "program_id": "x", "address_group_id": "g3"}],
+        "match_hypothesis_sets": [{"hypothesis_set_id": "h", "pc_function_id": "pf", "status": "candidate", "provenance_id": "v"}, {"hypothesis_set_id": "own", "pc_function_id": "pf", "status": "candidate", "provenance_id": "m"}, {"hypothesis_set_id": "no", "pc_target_id": "t", "status": "rejected", "provenance_id": "v"}],
+        "match_claims": [{"claim_id": "c1", "pc_function_id": "pf", "xbox_function_id": "f1", "status": "candidate"}, {"claim_id": "c2", "pc_function_id": "zz", "xbox_target_id": "t", "status": "candidate"}, {"claim_id": "c3", "pc_target_id": "t", "xbox_function_id": "f1", "status": "accepted"}],
+        "match_hypothesis_alternatives": [{"alternative_id": a, "hypothesis_set_id": h, "claim_id": c, "xbox_fold_group_id": f} for a, h, c, f in (("a1", "h", "c1", None), ("a2", "h", "c2", None), ("a3", "h", None, "fo"), ("a4", "own", "c1", None), ("a5", "no", "c3", None), ("a6", "h", None, None))],
+        "call_edges": [{"edge_id": "e1", "program_id": "p", "caller_function_id": "pf", "callee_function_id": "pg"}, {"edge_id": "e2", "program_id": "p", "caller_function_id": "pf", "unresolved_target_id": "t"}, {"edge_id": "e3", "program_id": "x", "caller_function_id": "f1", "callee_function_id": "f2"}],
+    }
+    c = Small(spark, changed)
+    out = {r["alternative_id"]: r for r in matcher_inputs.mapping_alternatives(c, "matcher").collect()}
+    assert {k: r["status"] for k, r in out.items()} == {"a1": "candidate", "a2": "candidate", "a3": "candidate", "a4": "derived_non_seed", "a5": "hypothesis:rejected|claim:accepted", "a6": "candidate"}
+    assert {k: r["problem"] for k, r in out.items() if r["problem"]} == {"a2": "different_pc_endpoints", "a6": "no_xbox_endpoint"}
+    assert (out["a3"]["xbox"]["endpoint_kind"], out["a3"]["xbox"]["identity"]) == ("fold_group", "fo") and tuple(out["a5"]["pc"]) == ("unresolved_target", "t", "g3")
+    calls = {r["edge_id"]: tuple(r["callee"]) for r in matcher_inputs.pc_calls(c).collect()}
+    assert calls == {"e1": ("function", "pg", None), "e2": ("unresolved_target", "t", "g3")}
+    flows = {r["use_id"]: (r["role"], tuple(r["target"]), r["site_address"]) for r in matcher_inputs.xbox_flows(c).collect()}
+    assert flows == {"u0": ("direct_call", ("function", "f1", None), 100), "u1": ("direct_call", ("fold_group", "fo", None), 100), "u2": ("direct_call", ("address_only", "g3", "g3"), 100)}
+    assert sorted(tuple(r) for r in matcher_inputs.fold_members(c).collect()) == [("fo", "f2"), ("fo", "f3")]
+    # the relation rule takes them as they are
+    flat = lambda df, key, end: df.select(key, f"{end}.*")
+    kinds = matching.relation_kinds(flat(matcher_inputs.mapping_alternatives(c, "matcher").withColumnRenamed("alternative_id", "bundle_id"), "bundle_id", "xbox"), flat(matcher_inputs.xbox_flows(c).withColumnRenamed("use_id", "flow_id"), "flow_id", "target"), matcher_inputs.fold_members(c))
+    assert sorted(tuple(r) for r in kinds.collect()) == [("a1", "u0", "exact"), ("a2", "u2", "exact"), ("a3", "u1", "exact"), ("a4", "u0", "exact"), ("a5", "u0", "exact")]
