@@ -4,8 +4,8 @@ import datetime
 
 import pytest
 
-from cairn.operators import matching
-from cairn.plans import documents, matcher_inputs
+from cairn.operators import matching, persist
+from cairn.plans import documents, exports, matcher_inputs
 
 from .test_families import BASE, Small
 
@@ -94,3 +94,33 @@ def test_matcher_inputs(spark):
     flat = lambda df, key, end: df.select(key, f"{end}.*")
     kinds = matching.relation_kinds(flat(matcher_inputs.mapping_alternatives(c, "matcher").withColumnRenamed("alternative_id", "bundle_id"), "bundle_id", "xbox"), flat(matcher_inputs.xbox_flows(c).withColumnRenamed("use_id", "flow_id"), "flow_id", "target"), matcher_inputs.fold_members(c))
     assert sorted(tuple(r) for r in kinds.collect()) == [("a1", "u0", "exact"), ("a2", "u2", "exact"), ("a3", "u1", "exact"), ("a4", "u0", "exact"), ("a5", "u0", "exact")]
+
+
+def test_export_plan_of_a_catalog(spark):
+    day = datetime.datetime(2024, 1, 1)
+    decide = lambda d, action="accept", previous=None, **target: {"decision_id": d, "reviewer_id": "r", "action": action, "decided_at": day, "review_release_id": "rel", "previous_decision_id": previous, **target}
+    changed = {
+        "review_releases": [{"review_release_id": "rel", "name": "one", "manifest_id": "man"}],
+        "provenance": [{"provenance_id": "v", "producer": "o", "manifest_id": "man"}, {"provenance_id": "w", "producer": "o", "manifest_id": "other"}],
+        "address_groups": [{"address_group_id": "gp", "program_id": "p", "address_space": "ram", "address": 64}, {"address_group_id": "gq", "program_id": "p", "address_space": "ram", "address": 80}, {"address_group_id": "gx", "program_id": "x", "address_space": "xbox-va", "address": 1}],
+        "functions": [{"function_id": "pf", "program_id": "p", "address_group_id": "gp"}, {"function_id": "pg", "program_id": "p", "address_group_id": "gq"}, {"function_id": "xf", "program_id": "x", "address_group_id": "gx"}],
+        "function_assertions": [{"assertion_id": f"a{f}", "function_id": f, "provenance_id": p} for f, p in (("pf", "v"), ("xf", "v"), ("pg", "w"))],
+        "function_names": [{"name_id": 1, "function_id": "xf", "name": "N", "is_primary": 1}],
+        "function_name_assertions": [{"assertion_id": "n", "name_id": 1, "is_primary": 1, "provenance_id": "v"}],
+        "match_hypothesis_sets": [{"hypothesis_set_id": "h", "pc_function_id": "pf", "provenance_id": "v"}],
+        "match_hypothesis_alternatives": [{"alternative_id": "a", "hypothesis_set_id": "h", "claim_id": "c1"}, {"alternative_id": "b", "hypothesis_set_id": "h", "xbox_fold_group_id": "fo"}],
+        "match_claims": [{"claim_id": "c1", "pc_function_id": "pf", "xbox_function_id": "xf", "provenance_id": "v"}, {"claim_id": "c2", "pc_function_id": "pg", "xbox_function_id": "xf", "provenance_id": "v"}, {"claim_id": "c3", "pc_function_id": "pf", "xbox_target_id": "t", "provenance_id": "v"}],
+        "review_decisions": [decide("d1", alternative_id="a"), decide("d2", claim_id="c1"), decide("d3", claim_id="c2"), decide("d4", claim_id="c3"), decide("d5", hypothesis_set_id="h"), decide("d6", alternative_id="b"), decide("d7", claim_id="c1", previous="d8"), decide("d8", claim_id="c1", action="defer"), decide("d9", claim_id="c1", action="reject")],
+    }
+    plan = exports.export_plan(Small(spark, changed), "r", "rel")
+    assert {r["decision_id"]: r["reasons"] for r in plan.collect()} == {
+        "d1": "",
+        "d2": "",
+        "d3": "provenance_manifest_mismatch",
+        "d4": "xbox_unresolved_endpoint",
+        "d5": "hypothesis_set_only_acceptance",
+        "d6": "xbox_fold_bundle",
+        "d7": "",
+    }
+    assert [(r["pc_address"], r["name"], r["lineage_count"], r["first_decision_id"]) for r in persist.applied(plan).collect()] == [(64, "N", 3, "d1")]
+    assert exports.export_plan(Small(spark, changed), "r", "none").count() == 0
