@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 1
     several = small(nodes.groupBy("node").count().where("count > 1").select("node"))  # ids with several texts that no smaller id has
 
     rows = nodes.select("node", "n", F.posexplode(_keys()).alias("band", "key")).where("key IS NOT NULL")
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")  # written, so that Spark can split the join of a key with many rows
     rows = written(rows.join(shared, "key"), "bands")
     fame = rows.groupBy("node").agg(F.sum("size").alias("fame"))
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -220,7 +220,7 @@ def _leftover(docs, nodes, several, rows, hubs, star, edges, width: int, num: in
     linking = f"{den} * common >= {num} * (na + nb - common)"
     parts = written(linked(edges), "parts")
     split = rows.join(parts, "node", "left").select("key", "band", "node", "n", "size", F.coalesce("component", "node").alias("part"))
-    mixed = split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    mixed = written(split.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key"), "mixed")
     split = written(split.join(mixed, "key").join(hubs.select("key", "hub"), "key").join(several.withColumn("more", F.lit(True)), "node", "left"), "split")
     if split.isEmpty():
         return edges.limit(0)
