@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, neardup, passages, pieces, pii, quality, sharding, tokens
+from . import anchors, covertree, decontam, fingerprint, importance, langid, neardup, passages, pieces, pii, quality, sharding, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_anchor_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_cover_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_cotraining": op1_cotraining,
     "op2_multiset_hash": op2_multiset_hash,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_viterbi_pieces": op8_viterbi_pieces,
     "op9_extendible_hashing": op9_extendible_hashing,
     "op10_compact_windows": op10_compact_windows,
+    "op11_anchor_points": op11_anchor_points,
+    "op12_cover_tree_lloyd": op12_cover_tree_lloyd,
+    "op13_prefix_crc": op13_prefix_crc,
 }
 
 # lower-case A to Z only
@@ -99,4 +114,6 @@ SQL: dict[str, str] = {
     "op5_hyperminhash": _NEAR,
     "op6_suffix_automaton": _CONTAMINATION,
     "op9_extendible_hashing": sharding.sql(),
+    "op12_cover_tree_lloyd": covertree.sql(),
+    "op13_prefix_crc": importance.SQL,
 }
