@@ -14,8 +14,12 @@ from .common import ship, small, written
 CELLS = 4096
 #: Overlapping trigrams are not independent: a text counts as this many at most.
 TRIGRAMS = 100
-#: Languages that are known: those that the most rows declare.  A text of another is meant to be UNKNOWN, whose trigrams are all alike.
-LANGUAGES, UNKNOWN = 128, "und"
+#: All declared languages are known.  A text of none of them is meant to be UNKNOWN, whose trigrams are all alike.
+UNKNOWN = "und"
+#: More declared languages than there are names of languages are an error: the column holds something else.
+MOST_LANGUAGES = 8192
+#: Numbers in a lookup table of posteriors that is broadcast: 16 MB.
+LOOKUP = 2_000_000
 #: Pseudo-counts that pull a host to its domain, a domain to its suffix, and a suffix to the whole.
 PULL = 20.0
 #: A row is accepted if its best language has at least this posterior and its text has a letter trigram.
@@ -70,9 +74,11 @@ def _pieces(column: pa.Array):
 
 
 def languages(rows: DataFrame) -> list[str]:
-    """The known languages in alphabetical order, and last UNKNOWN; none if no row declares one."""
-    counts = rows.where(F.col("_declared").isNotNull() & (F.col("_declared") != UNKNOWN)).groupBy("_declared").agg(F.count("*").alias("n"))
-    found = sorted(r["_declared"] for r in counts.orderBy(F.desc("n"), "_declared").limit(LANGUAGES).collect())
+    """The declared languages in alphabetical order, and last UNKNOWN; none if no row declares one."""
+    said = rows.where(F.col("_declared").isNotNull() & (F.col("_declared") != UNKNOWN)).select("_declared").distinct()
+    found = sorted(r["_declared"] for r in said.limit(MOST_LANGUAGES + 1).collect())
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} declared languages")
     return [*found, UNKNOWN] if found else []
 
 
@@ -136,7 +142,7 @@ class Evidence:
     def __init__(self, scored: DataFrame, known: list[str]):
         self.known, size = known, len(known)
         post = scored.where(F.get("_ll", F.lit(size)) > 0).select("_declared", "_suffix", "_domain", "_host", _softmax(F.slice("_ll", 1, size)).alias("p"))
-        sums = lambda *by: post.groupBy(*by).agg(F.array(*[F.sum(F.get("p", F.lit(k))) for k in range(size)]).alias("n"))
+        sums = lambda by, *more: post.groupBy(by).agg(F.array(*[F.sum(F.get("p", F.lit(k))) for k in range(size)]).alias("n"), *more)
         plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
         total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
         flat = F.array(*[F.lit(1.0 / size)] * size)
@@ -155,10 +161,11 @@ class Evidence:
 
         suffix = written(sums("_suffix").where("_suffix IS NOT NULL").select("_suffix", pulled(F.col("n"), self.whole).alias("sp")), "suffix")
         self.suffix = suffix
-        domain = sums("_domain", "_suffix").where("_domain IS NOT NULL").join(suffix, "_suffix", "left").select("_domain", pulled(F.col("n"), F.coalesce("sp", self.whole)).alias("dp"))
-        domain = written(domain.groupBy("_domain").agg(F.first("dp").alias("dp")), "domains")
-        host = sums("_host", "_domain").where("_host IS NOT NULL").join(domain, "_domain", "left")
-        host = host.groupBy("_host").agg(F.first("n").alias("_n"), F.first(F.coalesce("dp", self.whole)).alias("_base"))
+        domain = sums("_domain", F.max("_suffix").alias("_suffix")).where("_domain IS NOT NULL").join(suffix, "_suffix", "left")
+        domain = written(domain.select("_domain", pulled(F.col("n"), F.coalesce("sp", self.whole)).alias("dp")), "domains")
+        # all rows of a host count, those without a domain too; the domain is that of the others
+        host = sums("_host", F.max("_domain").alias("_domain")).where("_host IS NOT NULL").join(domain, "_domain", "left")
+        host = host.select("_host", F.col("n").alias("_n"), F.coalesce("dp", self.whole).alias("_base"))
         self.host = written(host.select(F.col("_host").alias("_k2"), "_n", "_base"), "hosts")
 
     def fused(self, scored: DataFrame) -> DataFrame:
@@ -170,10 +177,11 @@ class Evidence:
         size = len(self.known)
         names = F.array(*[F.lit(x) for x in self.known])
         ll = F.slice("_ll", 1, size)
-        rows = scored.join(small(self.declared, 50_000), F.col("_declared") == F.col("_k1"), "left")
+        few = LOOKUP // (2 * size)
+        rows = scored.join(small(self.declared, few), F.col("_declared") == F.col("_k1"), "left")
         spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("_ll"), F.lit(1000)).cast("string"))  # rows without a host meet none, in many tasks
-        rows = rows.join(small(self.host, 50_000), F.coalesce("_host", spread) == F.col("_k2"), "left")
-        rows = rows.join(small(self.suffix.withColumnRenamed("_suffix", "_k3"), 50_000), F.col("_suffix") == F.col("_k3"), "left")
+        rows = rows.join(small(self.host, few), F.coalesce("_host", spread) == F.col("_k2"), "left")
+        rows = rows.join(small(self.suffix.withColumnRenamed("_suffix", "_k3"), few), F.col("_suffix") == F.col("_k3"), "left")
         rows = rows.withColumn("_own", _softmax(ll))
         own = F.when(F.get("_ll", F.lit(size)) > 0, F.col("_own")).otherwise(F.transform("_own", lambda v: v * 0))
         others = F.zip_with("_n", own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
@@ -190,9 +198,9 @@ class Evidence:
 def identified(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Language of each row that has the evidence columns: ``keep`` of its own columns, then declared, text_lang, language, probability, accepted.
 
-    A language is known if it is among the LANGUAGES that most rows declare; a
-    text that is like none of them, or declares another, is likely UNKNOWN,
-    which is never accepted.  Null or empty texts, and texts without letters,
+    A language is known if a row declares it; a text that is like none of them
+    is likely UNKNOWN, which is never accepted.  The model holds 4,096 numbers
+    for each language, and a row's likelihoods one.  Null or empty texts, and texts without letters,
     are not accepted either; their language is what the other evidence says.
     Null declared languages, suffixes and hosts are no evidence.  Ties go to
     the language that comes first in the alphabet, UNKNOWN last.  Repeated rows
@@ -231,8 +239,8 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     Nulls, empty texts, ties, repeated rows and unknown languages are as for
     ``identified``; an empty table, or one that declares no language, gives no
     rows.  The scored documents are written once, so a text goes to Python once
-    for the model and once for its likelihoods; beyond 50,000 hosts they are
-    joined to the hosts by shuffle, texts included.
+    for the model and once for its likelihoods; beyond LOOKUP numbers the
+    hosts are joined by shuffle, texts included.
     """
     rows = of_documents(docs.select(F.struct("*").alias("row"), *_evidence(docs)))
     known = languages(rows)
