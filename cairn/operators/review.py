@@ -33,24 +33,27 @@ def history(decisions: DataFrame) -> DataFrame:
 
     Pointer doubling: each round doubles the distance looked back, so a chain of
     a million decisions takes twenty joins.  Unlike a recursive query it has no
-    level limit.  A decision in a cycle has no root and is left out.
+    level limit.  A decision whose predecessor is missing counts that as its
+    root.  A cycle, on which looking back never ends, is an error.
     """
     ids = decisions.select("decision_id", F.col("previous_decision_id").alias("up"), F.when(F.col("previous_decision_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     state = written(ids, "chain")
-    for _ in range(63):
+    for _ in range(state.count().bit_length() + 2):
         above = state.select(F.col("decision_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         if state.where("up IS NOT NULL").join(above.where("up2 IS NOT NULL"), "up", "left_semi").isEmpty():
             break
         step = state.join(above, "up", "left").select("decision_id", F.when(F.col("up2").isNotNull(), F.col("up2")).otherwise(F.col("up")).alias("up"), F.when(F.col("up2").isNotNull(), F.col("depth") + F.col("d2")).otherwise(F.col("depth")).alias("depth"))
         state = written(step, "chain")
+    else:
+        raise ValueError("review decisions form a cycle")
     return state.select("decision_id", F.coalesce("up", "decision_id").alias("root_decision_id"), "depth")
 
 
 def successor_violations(decisions: DataFrame) -> DataFrame:
-    """Decisions whose predecessor is of another reviewer or target, or later."""
-    p = decisions.select(F.col("decision_id").alias("previous_decision_id"), *[F.col(c).alias(f"p_{c}") for c in ("reviewer_id", "target_id", "decided_at")])
-    j = decisions.join(p, "previous_decision_id")
-    return j.where("reviewer_id <> p_reviewer_id OR target_id <> p_target_id OR decided_at < p_decided_at").select("decision_id")
+    """Decisions whose predecessor doesn't exist, is of another reviewer or target, nulls being one of their own, or is later."""
+    p = decisions.select(F.col("decision_id").alias("previous_decision_id"), F.lit(True).alias("p"), *[F.col(c).alias(f"p_{c}") for c in ("reviewer_id", "target_id", "decided_at")])
+    j = decisions.where("previous_decision_id IS NOT NULL").join(p, "previous_decision_id", "left")
+    return j.where("p IS NULL OR NOT reviewer_id <=> p_reviewer_id OR NOT target_id <=> p_target_id OR decided_at < p_decided_at").select("decision_id")
 
 
 def root_violations(decisions: DataFrame) -> DataFrame:
