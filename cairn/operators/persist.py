@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.expr import joined, reasons
+from cairn.functions.expr import joined
 
 
 def conflicts(new: DataFrame, old: DataFrame, key: str, immutable: list[str]) -> DataFrame:
@@ -31,6 +31,10 @@ def upserted(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
 RUNTIME_SPACES = ("ram", "va")
 
 
+#: Reasons that are told once the endpoints are.
+_LATER = ("ambiguous_xbox_names", "conflicting_accepted_destination", "conflicting_accepted_name", "missing_xbox_name", "provenance_manifest_mismatch")
+
+
 def export_plan(accepted: DataFrame) -> DataFrame:
     """Accepted leaves with the reasons that block each, sorted and comma-joined, and ``action``.
 
@@ -41,6 +45,9 @@ def export_plan(accepted: DataFrame) -> DataFrame:
     name_count and name, the distinct primary names of the xbox function; and
     manifest_ok.  Accepting a set chooses none of its alternatives.  Leaves of
     one pc entry that name different functions or names conflict, all of them.
+
+    A reason is a bit of a number until the text is made, at the end; conflicts
+    are a window over the entry, the only shuffle.
     """
     set_, fold = F.col("target_kind") == "hypothesis_set", (F.col("target_kind") == "alternative") & F.col("xbox_fold_group_id").isNotNull()
     scalar = ~set_ & ~fold & F.col("claim_id").isNotNull()
@@ -62,22 +69,20 @@ def export_plan(accepted: DataFrame) -> DataFrame:
         "xbox_endpoint_wrong_platform": scalar & F.col("xbox_function_id").isNotNull() & F.coalesce(F.col("xbox_platform") != "xbox360", F.lit(False)),
         "alternative_pc_subject_mismatch": scalar & (F.col("target_kind") == "alternative") & ~F.col("set_pc_function_id").eqNullSafe(F.col("pc_function_id")),
     }
-    rows = accepted.withColumn("_ends", reasons(*[(c, n) for n, c in named.items()]))
-    whole = F.col("_ends") == ""
-    own = reasons(
-        *[(c, n) for n, c in named.items()],
-        (whole & (F.col("name_count") == 0), "missing_xbox_name"),
-        (whole & (F.col("name_count") > 1), "ambiguous_xbox_names"),
-        (~F.col("manifest_ok"), "provenance_manifest_mismatch"),
-    )
-    rows = rows.withColumn("_own", own)
-    entry = ["pc_program_id", "pc_address_space", "pc_address"]
-    per = rows.where("_own = ''").groupBy(*entry).agg(F.count_distinct("xbox_function_id").alias("_d"), F.count_distinct("name").alias("_n"))
-    rows = rows.join(per, entry, "left")
-    free = F.col("_own") == ""
-    clash = reasons((free & (F.col("_d") > 1), "conflicting_accepted_destination"), (free & (F.col("_n") > 1), "conflicting_accepted_name"))
-    why = F.when(free, clash).otherwise(F.col("_own"))
-    return rows.select(*accepted.columns, why.alias("reasons"), F.when(why == "", "apply").otherwise("blocked").alias("action"))
+    bit = {n: 1 << k for k, n in enumerate(sorted([*named, *_LATER]))}
+    marked = lambda pairs: reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.coalesce(c, F.lit(False)), F.lit(bit[n])).otherwise(F.lit(0)) for n, c in pairs.items()])
+    rows = accepted.withColumn("_ends", marked(named))
+    whole = F.col("_ends") == 0
+    own = {"missing_xbox_name": whole & (F.col("name_count") == 0), "ambiguous_xbox_names": whole & (F.col("name_count") > 1), "provenance_manifest_mismatch": ~F.col("manifest_ok")}
+    rows = rows.withColumn("_own", F.col("_ends").bitwiseOR(marked(own)))
+    # leaves that nothing blocks meet at their pc entry; the others, which may have none, are dealt anywhere
+    free = F.col("_own") == 0
+    entry = [F.when(free, F.col(c)) for c in ("pc_program_id", "pc_address_space", "pc_address")]
+    at = Window.partitionBy(*entry, F.when(~free, F.pmod(F.xxhash64("decision_id"), F.lit(10_000))))
+    several = lambda c: free & (F.min(F.when(free, F.col(c))).over(at) != F.max(F.when(free, F.col(c))).over(at))
+    rows = rows.withColumn("_all", F.col("_own").bitwiseOR(marked({"conflicting_accepted_destination": several("xbox_function_id"), "conflicting_accepted_name": several("name")})))
+    why = F.concat_ws(",", *[F.when(F.col("_all").bitwiseAND(F.lit(k)) != 0, n) for n, k in bit.items()])
+    return rows.select(*accepted.columns, why.alias("reasons"), F.when(F.col("_all") == 0, "apply").otherwise("blocked").alias("action"))
 
 
 def applied(plan: DataFrame) -> DataFrame:
@@ -91,9 +96,15 @@ def blocked_counts(plan: DataFrame) -> DataFrame:
     return one.groupBy("reason").agg(F.count("*").alias("decision_count"))
 
 
+def unmistakable(*values: Column) -> Column:
+    """Values as one text that no other values share: each has its length before it, and a null has a mark of its own."""
+    one = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n"))
+    return F.concat(*[one(v) for v in values])
+
+
 def manifest(entries: DataFrame) -> DataFrame:
-    """The entries of each manifest in order as one digest: role, name, content and size, each on a line."""
-    line = F.concat_ws("\t", "role", "logical_name", "content_id", F.col("size_bytes").cast("string"))
+    """The entries of each manifest in order as one digest: role, name, content and size, none to be mistaken for another."""
+    line = unmistakable(*[F.col(c) for c in ("role", "logical_name", "content_id", "size_bytes")])
     g = entries.groupBy("manifest_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.count("*").alias("entry_count"))
     return g.select("manifest_id", "entry_count", F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
 
@@ -109,8 +120,8 @@ def lineage(components: DataFrame, required) -> DataFrame:
 
 
 def row_digests(rows: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
-    """A digest of each group's rows in order, every value with its length before it, so no two row streams share a text."""
-    text = F.concat_ws("", *[F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")) for c in (F.coalesce(F.col(n).cast("string"), F.lit("")) for n in columns)])
+    """A digest of each group's rows in order, every value with its length before it and nulls marked, so no two row streams share a text."""
+    text = unmistakable(*[F.col(n) for n in columns])
     g = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, text.alias("_text")))).alias("r"))
     return g.select(by, F.size("r").cast("long").alias("row_count"), F.sha2(F.array_join(F.transform("r", lambda x: x["_text"]), ""), 256).alias("digest"))
 
@@ -120,8 +131,8 @@ def altered_manifests(manifests: DataFrame, entries: DataFrame) -> DataFrame:
     kind = "struct<entries:array<struct<role:string,logical_name:string,content_id:string>>>"
     own = entries.groupBy("manifest_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "role", "logical_name", "content_id"))), lambda x: F.struct(x["role"], x["logical_name"], x["content_id"])).alias("held"))
     j = manifests.join(own, "manifest_id", "left").withColumn("said", F.from_json("canonical_json", kind)["entries"])
-    plain = lambda c: F.transform(c, lambda x: F.concat_ws("\t", x["role"], x["logical_name"], x["content_id"]))
-    held = F.transform(F.coalesce("held", F.array()), lambda x: F.concat_ws("\t", x["role"], x["logical_name"], x["content_id"]))
+    plain = lambda c: F.transform(c, lambda x: unmistakable(x["role"], x["logical_name"], x["content_id"]))
+    held = plain(F.coalesce("held", F.array()))
     good = F.col("manifest_id").endswith(F.sha2("canonical_json", 256)) & (plain(F.col("said")) == held)
     return j.where(~F.coalesce(good, F.lit(False))).select("manifest_id")
 

@@ -337,7 +337,10 @@ def stable_ids(t):
     return t.supplier.select("s_suppkey", expr.stable_id("sup", expr.json_text(F.col("s_name"), "string"), expr.json_text(F.col("s_nationkey"), "number"), F.lit("null")).alias("stable_id"))
 
 
-@register("manifests", "SELECT o_custkey AS manifest_id, count(*) AS entry_count, sha256(string_agg(o_orderpriority || chr(9) || o_orderstatus || chr(9) || o_orderkey || chr(9) || CAST(floor(o_totalprice) AS BIGINT), chr(10) ORDER BY o_orderpriority || chr(9) || o_orderstatus || chr(9) || o_orderkey || chr(9) || CAST(floor(o_totalprice) AS BIGINT))) AS digest FROM orders GROUP BY 1")
+_MANIFEST_LINE = " || ".join(f"length({v}) || ':' || {v}" for v in ("o_orderpriority", "o_orderstatus", "CAST(o_orderkey AS VARCHAR)", "CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR)"))
+
+
+@register("manifests", f"SELECT o_custkey AS manifest_id, count(*) AS entry_count, sha256(string_agg({_MANIFEST_LINE}, chr(10) ORDER BY {_MANIFEST_LINE})) AS digest FROM orders GROUP BY 1")
 def manifests(t):
     return persist.manifest(t.orders.select(F.col("o_custkey").alias("manifest_id"), F.col("o_orderpriority").alias("role"), F.col("o_orderstatus").alias("logical_name"), F.col("o_orderkey").cast("string").alias("content_id"), F.floor("o_totalprice").alias("size_bytes")))
 

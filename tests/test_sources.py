@@ -135,3 +135,22 @@ def test_cursors_and_flags(spark):
     index = spark.createDataFrame([(1, 0, 0, 0, 2, 1, 0), (2, 1, 0, 1, 0, 0, 0)], "alternative_count long, has_fold long, has_empty_fold long, has_unresolved long, evidence_count long, directional_count long, contradicting_count long")
     out = review.flags(index).orderBy("alternative_count").collect()
     assert out[0]["has_exact_scalar_topology"] and not out[0]["has_multiple_alternatives"] and out[1]["has_multiple_alternatives"] and out[1]["has_unresolved_endpoint"] and not out[1]["has_directional_evidence"]
+
+
+def test_digests_tell_nulls_from_blanks(spark):
+    kind = "g long, k long, a string, b string"
+    digest = lambda *r: persist.row_digests(spark.createDataFrame([(1, i, *v) for i, v in enumerate(r)], kind), "g", ["k"], ["a", "b"]).first()["digest"]
+    some = [(None, "x"), ("", "x"), ("x", None), ("1:x", ""), ("", "1:x"), ("n", "n"), (None, None)]
+    assert len({digest(v) for v in some}) == len(some) and digest(("a", "b"), ("c", "d")) != digest(("a", "b"))
+    entry = "manifest_id long, role string, logical_name string, content_id string, size_bytes long"
+    manifests = spark.createDataFrame([(1, "a", None, "b", 1), (2, "a", "b", None, 1), (3, "a", "b", "", 1)], entry)
+    assert len({r["digest"] for r in persist.manifest(manifests).collect()}) == 3
+
+
+def test_export_plan_stays_small(spark, sf):
+    """No reason is derived more than once or twice, however often the plan asks for it."""
+    from cairn.plans import registry
+
+    for name in ("export_plan", "export_plan_blocked", "export_plan_actions"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("pc_endpoint_wrong_platform") <= 2 and len(plan) < 20_000, (name, len(plan))
