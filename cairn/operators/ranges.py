@@ -21,6 +21,29 @@ def containing(points: DataFrame, point: str, ranges: DataFrame, start: str, end
     return a.join(b, condition, how).drop("_bin")
 
 
+#: Bits by which the bins of one level are wider than those of the level below.
+STEP = 3
+
+
+def around(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str, how: str = "inner") -> DataFrame:
+    """Points with every half-open range [start, end) that has them, whatever the ranges' lengths.
+
+    Bins are a hierarchy: a range goes to the level whose bins are the first as
+    wide as it is, where it has two bins at most, and a point looks into one
+    bin of each level that occurs; points at one place look once.  So a range makes at most two rows however
+    long it is, and nested and overlapping ones are all found.  An empty range
+    has nothing.
+    """
+    some = ranges.where(F.col(end) > F.col(start)).withColumn("_level", F.ceil(F.when(F.col(end) - F.col(start) == 1, 0).otherwise(F.length(F.bin(F.col(end) - F.col(start) - 1))) / STEP).cast("int"))
+    levels = sorted(r["_level"] for r in some.select("_level").distinct().collect())  # 22 at most
+    bin_of = lambda at, level: F.expr(f"shiftright({at}, {STEP} * {level})")
+    binned = some.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(f"CAST({start} AS BIGINT)", "_level"), bin_of(f"CAST({end} AS BIGINT) - 1", "_level")))))
+    probe = points.select(F.col(point).alias("_at")).where("_at IS NOT NULL").distinct().withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels or [0]])))
+    probe = probe.withColumn("_bin", bin_of("CAST(_at AS BIGINT)", "_level"))
+    found = probe.join(binned, ["_level", "_bin"]).where((F.col(start) <= F.col("_at")) & (F.col("_at") < F.col(end))).select("_at", *ranges.columns)
+    return points.join(found, F.col(point) == F.col("_at"), how).drop("_at")
+
+
 def overlaps(ranges: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
     """Ranges that begin before an earlier one of their group ends."""
     w = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import expr
-from cairn.operators import alignment, decode, lookup, matching, persist, ranges
+from cairn.operators import alignment, decode, lookup, matching, persist, ranges, sdk
 from cairn.plans.registry import Tables, register
 
 # Two sides of an anchor: the odd and the even lines of an order, each calling one of fifty keys.  Mappings come from parts.
@@ -150,6 +150,47 @@ def boundary_containers(t):
     return j.groupBy("observation_id").agg(F.count("function_id").alias("container_count"), F.min("function_id").alias("first_container"), F.max("function_id").alias("last_container"))
 
 
+# Observations: orders at their total; functions: parts, of nested and overlapping extents, some very long; sections: regions.
+_SDK = """
+WITH functions AS (SELECT p_partkey AS function_id, p_partkey * 100 AS address, CASE WHEN p_size = 1 THEN 0 WHEN p_size = 2 THEN 200000 ELSE p_size * 12 END AS size FROM part),
+sections AS (SELECT r_name AS section_name, r_regionkey * 90000 + 1000 AS lo, r_regionkey * 90000 + 90000 AS hi, r_regionkey % 2 = 0 AS executable FROM region),
+seen AS (
+  SELECT o_orderkey AS observation_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'geck' WHEN '2-HIGH' THEN 'unspecified_pc' ELSE 'game' END AS program_variant,
+    CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_totalprice / 100) AS BIGINT) * 100 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS address, CASE WHEN o_orderstatus = 'O' THEN 'comment' ELSE 'create_object_macro' END AS evidence_kind FROM orders),
+j AS (SELECT s.*, f.function_id AS f, section_name, executable FROM seen s LEFT JOIN functions f USING (address) LEFT JOIN sections c ON lo <= address AND address < hi),
+code AS (
+  SELECT observation_id, address, evidence_kind, section_name, program_variant, f,
+    CASE WHEN program_variant = 'geck' THEN 'non_game_variant' ELSE
+      CASE WHEN f IS NOT NULL THEN 'pc_function_entry' WHEN section_name IS NOT NULL AND executable THEN 'pc_executable_non_entry' WHEN section_name IS NOT NULL THEN 'pc_non_executable_section' ELSE 'outside_pc_image_sections' END
+      || CASE WHEN program_variant = 'game' THEN '' ELSE '_variant_unspecified' END END AS classification
+  FROM j)
+"""
+
+
+def _code_joins(t: Tables):
+    functions = t.part.select(F.col("p_partkey").alias("function_id"), (F.col("p_partkey") * 100).alias("address"), F.expr("CASE WHEN p_size = 1 THEN 0 WHEN p_size = 2 THEN 200000 ELSE p_size * 12 END").alias("size"))
+    sections = t.region.select(F.col("r_name").alias("section_name"), (F.col("r_regionkey") * 90000 + 1000).cast("long").alias("start"), (F.col("r_regionkey") * 90000 + 90000).cast("long").alias("end"), (F.col("r_regionkey") % 2 == 0).alias("executable"))
+    seen = t.orders.selectExpr(
+        "o_orderkey AS observation_id", "CASE o_orderpriority WHEN '1-URGENT' THEN 'geck' WHEN '2-HIGH' THEN 'unspecified_pc' ELSE 'game' END AS program_variant",
+        "CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_totalprice / 100) AS BIGINT) * 100 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS address", "CASE WHEN o_orderstatus = 'O' THEN 'comment' ELSE 'create_object_macro' END AS evidence_kind",
+    )
+    return sdk.code_joins(seen, functions, sections), functions
+
+
+@register("sdk_code_joins", _SDK + "SELECT observation_id, classification, section_name, CASE WHEN program_variant = 'game' THEN f END AS pc_function_id, CASE WHEN program_variant = 'unspecified_pc' THEN f END AS candidate_pc_function_id FROM code")
+def sdk_code_joins(t):
+    return _code_joins(t)[0].select("observation_id", "classification", "section_name", "pc_function_id", "candidate_pc_function_id")
+
+
+@register(
+    "sdk_boundary_candidates",
+    _SDK + "SELECT observation_id, c.address, classification, coalesce(string_agg(CAST(f.address AS VARCHAR), ',' ORDER BY f.address), '') AS containing_function_entries FROM code c LEFT JOIN functions f ON f.size > 0 AND f.address <= c.address AND c.address < f.address + f.size WHERE evidence_kind = 'create_object_macro' AND starts_with(classification, 'pc_executable_non_entry') GROUP BY 1, 2, 3",
+)
+def sdk_boundary_candidates(t):
+    rows = sdk.boundary_candidates(*_code_joins(t))
+    return rows.select("observation_id", "address", "classification", F.array_join(F.transform("containing_function_entries", lambda e: e.cast("string")), ",").alias("containing_function_entries"))
+
+
 @register(
     "section_overlap",
     "SELECT p_partkey, CAST(p_retailprice * 10 AS BIGINT) AS lo, CAST(p_retailprice * 10 AS BIGINT) + p_size AS hi FROM (SELECT *, max(CAST(p_retailprice * 10 AS BIGINT) + p_size) OVER (PARTITION BY p_brand ORDER BY CAST(p_retailprice * 10 AS BIGINT), p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM part) WHERE CAST(p_retailprice * 10 AS BIGINT) < reach",
@@ -308,6 +349,30 @@ def portable_labels(t):
     return t.part.select("p_partkey", expr.portable_label(F.concat_ws("  ", "p_brand", "p_name"), F.col("p_partkey").cast("string"), "EX").alias("label"))
 
 
+# Classes: parts, each with half its number as base at zero; some with two, an unknown one, or themselves.  Slots: their lines.
+@register(
+    "primary_slot_maps",
+    """WITH RECURSIVE classes AS (SELECT 'c' || p_partkey AS c, CASE WHEN p_size = 1 OR p_partkey = 1 THEN NULL WHEN p_size = 2 THEN 'unknown' WHEN p_size = 3 THEN 'c' || p_partkey WHEN p_size = 4 THEN 'c' || (p_partkey // 8 * 2 + 1) ELSE 'c' || (p_partkey // 2) END AS b, CASE WHEN p_size = 1 THEN 2 WHEN p_partkey = 1 THEN 0 ELSE 1 END AS n FROM part),
+virtuals AS (SELECT DISTINCT 'c' || l_partkey AS c, CAST(l_linenumber - 1 + l_suppkey % 2 AS BIGINT) AS slot FROM lineitem WHERE l_returnflag = 'R'),
+chain AS (
+  SELECT c, c AS a, 0 AS d, [c] AS path FROM classes
+  UNION ALL SELECT h.c, k.b, d + 1, list_append(path, k.b) FROM chain h JOIN classes k ON k.c = h.a JOIN classes up ON up.c = k.b WHERE NOT list_contains(path, k.b)),
+held AS (SELECT h.c, bool_or(k.n = 0) AS complete FROM chain h JOIN classes k ON k.c = h.a GROUP BY 1),
+slots AS (SELECT h.c, slot, min_by(v.c, d) AS decl FROM chain h JOIN virtuals v ON v.c = h.a GROUP BY 1, 2),
+per AS (SELECT c, string_agg(slot || ':' || decl, ',' ORDER BY slot) AS slots, max(slot) + 1 = count(*) AS hole_free FROM slots GROUP BY 1)
+SELECT c AS class_name, coalesce(slots, '') AS slots, coalesce(hole_free, false) AS hole_free, complete FROM held LEFT JOIN per USING (c)""",
+)
+def primary_slot_maps(t):
+    name = lambda e: F.expr(f"concat('c', {e})")
+    classes = t.part.select(name("p_partkey").alias("class_name"))
+    base = F.expr("CASE WHEN p_size = 2 THEN 'unknown' WHEN p_size = 3 THEN concat('c', p_partkey) WHEN p_size = 4 THEN concat('c', p_partkey div 8 * 2 + 1) ELSE concat('c', p_partkey div 2) END")
+    first = t.part.where("p_partkey <> 1 OR p_size = 1").select(name("p_partkey").alias("class_name"), base.alias("base_name"), F.lit(0).alias("base_offset"))
+    more = t.part.where("p_size = 1").select(name("p_partkey").alias("class_name"), F.lit("c1").alias("base_name"), F.lit(0).alias("base_offset"))
+    virtuals = t.lineitem.where("l_returnflag = 'R'").select(name("l_partkey").alias("class_name"), F.expr("l_linenumber - 1 + l_suppkey % 2").alias("slot"))
+    out = alignment.slot_maps(classes, first.unionByName(more), virtuals)
+    return out.withColumn("slots", F.array_join(F.transform("slots", lambda s: F.concat_ws(":", s["slot"].cast("string"), s["declared_by"])), ","))
+
+
 _HALVES = "old AS (SELECT o_orderkey AS id, o_orderstatus AS a, o_orderpriority AS b FROM orders), new AS (SELECT o_custkey * 20 AS id, min(o_orderstatus) AS a, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE min(o_orderpriority) END AS b FROM orders GROUP BY o_custkey)"
 
 
