@@ -56,13 +56,13 @@ def decision_append_problems(t):
     over = "OVER (PARTITION BY user_id, CAST(floor(value) AS BIGINT) % 50 ORDER BY ts, event_id)"
     rows = t.events.select(
         F.col("event_id").cast("string").alias("decision_id"), F.lit(None).cast("string").alias("hypothesis_set_id"), F.lit(None).cast("string").alias("alternative_id"), target.alias("claim_id"), F.col("user_id").cast("string").alias("reviewer_id"),
-        F.expr("CASE WHEN event_type = 'signup' THEN 'reopen' ELSE 'reject' END").alias("action"), F.col("ts").cast("timestamp").alias("decided_at"), F.expr("CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'why' END").alias("rationale"), F.lit("v").alias("provenance_id"), F.lit("r").alias("review_release_id"),
+        F.expr("CASE WHEN event_type = 'signup' THEN 'reopen' ELSE 'reject' END").alias("action"), F.col("ts").cast("timestamp").alias("decided_at"), F.expr("CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'why' END").alias("rationale"), F.lit("v").alias("provenance_id"), F.expr("CAST(event_id % 3 AS STRING)").alias("review_release_id"),
         F.expr(f"CAST(CASE WHEN event_type NOT IN ('error', 'signup') THEN lag(event_id) {over} WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN lag(event_id, 2) {over} WHEN event_id % 17 = 0 THEN -1 ELSE lag(event_id) {over} END AS STRING)").alias("previous_decision_id"),
         F.col("event_type").isin("error", "signup").alias("new"), F.lit("claim").alias("target_kind"), target.alias("target_id"),
     )
     none = t.spark.createDataFrame([], "hypothesis_set_id string, alternative_id string")
     claims = t.events.select(target.alias("claim_id")).distinct().where("CAST(claim_id AS BIGINT) < 46")
-    base = SimpleNamespace(review_decisions=rows.where("NOT new").drop("target_kind", "target_id"), match_hypothesis_sets=none, match_hypothesis_alternatives=none, match_claims=claims, reviewers=t.customer.select(F.col("c_custkey").cast("string").alias("reviewer_id")), review_releases=t.spark.createDataFrame([("r",)], "review_release_id string"))
+    base = SimpleNamespace(review_decisions=rows.where("NOT new").drop("target_kind", "target_id"), match_hypothesis_sets=none, match_hypothesis_alternatives=none, match_claims=claims, reviewers=t.customer.select(F.col("c_custkey").cast("string").alias("reviewer_id")), review_releases=t.events.selectExpr("CAST(event_id % 3 AS STRING) AS review_release_id").distinct())
     return decisions.problems(base, rows.where("new").drop("new"))
 
 
@@ -86,9 +86,9 @@ UNION ALL SELECT 'call_edges', 'dangling_callee_function_id', callee FROM (SELEC
 """,
 )
 def load_problems(t):
-    edge = lambda df, key, caller, callee, target: df.select(F.expr(key).alias("edge_id"), F.lit("p").alias("program_id"), F.expr(caller).alias("caller_function_id"), F.expr(callee).alias("callee_function_id"), F.expr(target).cast("string").alias("unresolved_target_id"), F.lit("call").alias("edge_kind"), F.lit("v").alias("provenance_id"))
+    edge = lambda df, key, caller, callee, target: df.select(F.expr(key).alias("edge_id"), F.lit(None).cast("string").alias("program_id"), F.expr(caller).alias("caller_function_id"), F.expr(callee).alias("callee_function_id"), F.expr(target).cast("string").alias("unresolved_target_id"), F.lit("call").alias("edge_kind"), F.lit(None).cast("string").alias("provenance_id"))
     staged = edge(t.lineitem, "l_orderkey || '-' || l_linenumber", "'f' || l_suppkey", "'f' || l_partkey", "CASE WHEN l_returnflag = 'R' THEN NULL ELSE 't' || l_suppkey END")
     held = edge(t.orders, "o_orderkey || '-1'", "'f' || o_custkey", "'f1'", "NULL")
-    one = lambda name, value: t.spark.createDataFrame([(value,)], f"{name} string")
-    base = SimpleNamespace(call_edges=held, functions=t.part.where("p_size <> 3").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("function_id")), programs=one("program_id", "p"), provenance=one("provenance_id", "v"), unresolved_targets=t.supplier.select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("target_id")))
+    none = t.spark.createDataFrame([], "program_id string, provenance_id string")
+    base = SimpleNamespace(call_edges=held, functions=t.part.where("p_size <> 3").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("function_id")), programs=none, provenance=none, unresolved_targets=t.supplier.select(F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("target_id")))
     return load.problems(base, {"call_edges": staged})
