@@ -34,7 +34,8 @@ IDENTITY = {
     "vtable_slots": "program_id",
     "unresolved_targets": "program_id address_group_id target_kind name_hint",
     "match_claims": "pc_function_id pc_target_id xbox_function_id xbox_target_id provenance_id",
-    "match_hypothesis_sets": "pc_function_id pc_target_id provenance_id",
+    "match_hypothesis_sets": "pc_function_id pc_target_id provenance_id identity_key",
+    "match_hypothesis_alternatives": "hypothesis_set_id claim_id xbox_fold_group_id",
     "vtable_alignment_candidates": "pc_vtable_id xbox_vtable_id provenance_id",
     "vtable_slot_alignments": "alignment_id pc_vtable_id pc_slot_index xbox_vtable_id xbox_slot_index hypothesis_set_id provenance_id",
     "reviewers": "",

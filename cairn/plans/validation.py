@@ -141,4 +141,4 @@ def violations(catalog: Catalog, names: list[str] | None = None) -> DataFrame:
 
 
 # the modules name their checks when they are imported
-from cairn.plans import validation_flow, validation_slots, validation_types  # noqa: E402, F401
+from cairn.plans import validation_flow, validation_matching, validation_slots, validation_types  # noqa: E402, F401

@@ -78,7 +78,7 @@ def broken(spark, names, changed=None):
 
 
 def test_families_are_whole():
-    assert len(validation.CHECKS) == 78 and len(SLOTS) == 16 and len(FLOW) == 20 and len(TYPES) == 18
+    assert len(validation.CHECKS) == 83 and len(SLOTS) == 16 and len(FLOW) == 20 and len(TYPES) == 18
 
 
 @pytest.mark.parametrize("names", [SLOTS, FLOW, TYPES], ids=["slots", "flow", "types"])

@@ -9,6 +9,7 @@ from cairn.operators import review
 from cairn.operators.digest import tree_digest
 from cairn.plans import queue
 from cairn.sources import catalog
+from tests.test_catalog import padded
 
 WHEN = datetime.datetime(2026, 8, 17)
 ROWS = {
@@ -39,12 +40,12 @@ class Graph:
         self.spark, self.rows = spark, ROWS | changed
 
     def __getattr__(self, name):
-        return self.spark.createDataFrame(self.rows.get(name, []), catalog.schema(name))
+        return self.spark.createDataFrame(padded(name, self.rows.get(name, [])), catalog.schema(name))
 
 
 @pytest.fixture(scope="module")
 def graph(spark, tmp_path_factory):
-    return catalog.publish(spark, {n: spark.createDataFrame(r, catalog.schema(n)) for n, r in ROWS.items()}, str(tmp_path_factory.mktemp("q") / "graph"))
+    return catalog.publish(spark, {n: spark.createDataFrame(padded(n, r), catalog.schema(n)) for n, r in ROWS.items()}, str(tmp_path_factory.mktemp("q") / "graph"))
 
 
 def test_digest_is_of_the_rows_alone(spark):

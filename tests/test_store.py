@@ -11,10 +11,10 @@ from cairn.operators.load import Refused
 from cairn.plans import validation
 from cairn.sources import catalog
 from cairn.sources.store import CommitConflict, Version, commit, compacted
-from tests.test_catalog import ROWS
+from tests.test_catalog import ROWS, padded
 
 def table(spark, name, rows):
-    return spark.createDataFrame(rows, catalog.schema(name))
+    return spark.createDataFrame(padded(name, rows), catalog.schema(name))
 
 
 def graph(spark, skip=("review_decisions",), **more):
