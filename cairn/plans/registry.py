@@ -33,4 +33,4 @@ def register(name: str, sql: str | None = None):
 
 
 # the modules register their queries when they are imported
-from cairn.plans import catalog_queries, check_queries, decode_queries, graph_queries, legacy_queries, lookup_queries, matcher_queries, more_queries, review_queries, rule_queries, store_queries  # noqa: E402, F401
+from cairn.plans import catalog_queries, check_queries, decode_queries, graph_queries, legacy_queries, lookup_queries, matcher_queries, more_queries, review_queries, rule_queries, store_queries, summary  # noqa: E402, F401
