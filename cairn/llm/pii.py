@@ -91,11 +91,13 @@ def rendered(spans: list[tuple[int, int, int]]) -> str:
 
 
 def shape(token: str, before: str) -> int:
-    """A number for what a token looks like, its digits and letters folded by length."""
+    """A number for what a token looks like, its digits and letters folded by length; of one with a card's digits also whether they pass Luhn."""
+    digits = "".join(_DIGITS.findall(token))
+    check = str(luhn(digits)) if 13 <= len(digits) <= 19 else ""
     core = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 20)}", token)
     core = re.sub(r"[^\W0-9_]+", "a", core)
     word = re.sub(r"[^a-z]", "", before.lower())
-    return zlib.crc32(f"{core}|{word if word in _CUES else ''}".encode()) % SHAPES
+    return zlib.crc32(f"{core}|{word if word in _CUES else ''}{check}".encode()) % SHAPES
 
 
 #: Words before a token that tell its kind.
@@ -117,7 +119,7 @@ def keys(token: str) -> list[str]:
 def broken(token: str, kind: int, way: int) -> str:
     """A token of a base span as the patterns don't know it: an email without its dots, an ip without its last number, a phone without plus, country or separators.
 
-    A card is left as it is: what breaks it is one wrong digit, which has the same shape.
+    A card gets a wrong first digit.
     """
     if kind == 0:
         local, at, domain = token.partition("@")
@@ -128,7 +130,7 @@ def broken(token: str, kind: int, way: int) -> str:
         short = re.sub(r"\+[0-9]{1,3}[().-]+", "", token, count=1) if way & 1 else token
         short = (short if _DIGITS.search(short) else token).replace("+", "", 1)
         return re.sub(r"[().-]", "", short) if way & 2 else short
-    return token
+    return _DIGITS.sub(lambda m: str((int(m[0]) + 1) % 10), token, count=1)
 
 
 class Tokens:
@@ -196,11 +198,13 @@ class Tokens:
         """Break every other base span at its first token, in the ways that hide it from the patterns; its label stays.
 
         Which ones is told by a hash of the token and its place, so of a
-        repeated address some stay whole.
+        repeated address some stay whole.  Of cards only those with a like token
+        are broken: a long number that fails Luhn is no card by its shape alone.
         """
+        linked = set(self.skip.ravel().tolist())
         for i, kind in self.heads:
             code = zlib.crc32(f"{self.text[i]}|{self.start[i]}".encode())
-            if code & 1:
+            if code & 1 and (kind != 2 or i in linked):
                 self.text[i] = broken(self.text[i], kind, code >> 1)
         self.seen()
 
