@@ -44,9 +44,9 @@ def around(points: DataFrame, point: str, ranges: DataFrame, start: str, end: st
     return points.join(found, F.col(point) == F.col("_at"), how).drop("_at")
 
 
-def overlaps(ranges: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:
-    """Ranges that begin before an earlier one of their group ends."""
-    w = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+def overlaps(ranges: DataFrame, start: str, end: str, by: list[str], ties: list[str] = []) -> DataFrame:
+    """Ranges that begin before an earlier one of their group ends; ``ties`` order those of equal start and end."""
+    w = Window.partitionBy(*by).orderBy(start, end, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return ranges.withColumn("_reach", F.max(end).over(w)).where(F.col(start) < F.col("_reach")).drop("_reach")
 
 

@@ -196,9 +196,9 @@ def sdk_boundary_candidates(t):
     "SELECT p_partkey, CAST(p_retailprice * 10 AS BIGINT) AS lo, CAST(p_retailprice * 10 AS BIGINT) + p_size AS hi FROM (SELECT *, max(CAST(p_retailprice * 10 AS BIGINT) + p_size) OVER (PARTITION BY p_brand ORDER BY CAST(p_retailprice * 10 AS BIGINT), p_size, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM part) WHERE CAST(p_retailprice * 10 AS BIGINT) < reach",
 )
 def section_overlap(t):
-    lo = F.round(F.col("p_retailprice") * 10).cast("long")
+    lo = F.rint(F.col("p_retailprice") * 10).cast("long")
     rows = t.part.select("p_partkey", "p_brand", lo.alias("lo"), (lo + F.col("p_size")).alias("hi"))
-    return ranges.overlaps(rows, "lo", "hi", ["p_brand"]).select("p_partkey", "lo", "hi")
+    return ranges.overlaps(rows, "lo", "hi", ["p_brand"], ["p_partkey"]).select("p_partkey", "lo", "hi")
 
 
 # Tables of two builds: suppliers and customers; class: the nation; slots: up to twenty numbers each.
