@@ -33,9 +33,11 @@ def public_record_matches(raw: Column, length: Column, kind: Column, flags: Colu
     return F.coalesce(good, F.lit(False))
 
 
-def big_endian_matches(raw: Column, value: Column) -> Column:
-    """Whether four bytes, the highest first, are the number."""
-    return F.coalesce((F.length(raw) == 4) & (value >= 0) & (value < 1 << 32) & (F.hex(raw) == F.lpad(F.hex(value.cast("bigint")), 8, "0")), F.lit(False))
+def big_endian_matches(raw: Column, value: Column, wide: bool = False) -> Column:
+    """Whether four bytes, the highest first, are the number; with ``wide``, eight bytes are one that four can't hold."""
+    narrow = (value >= 0) & (value < 1 << 32)
+    word = lambda size: (F.length(raw) == size) & (F.hex(raw) == F.lpad(F.hex(value.cast("bigint")), 2 * size, "0"))
+    return F.coalesce((narrow & word(4)) | (~narrow & word(8)) if wide else narrow & word(4), F.lit(False))
 
 
 def casefold(text: Column) -> Column:

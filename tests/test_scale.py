@@ -24,3 +24,7 @@ def same_as_sql(spark, tmp_path):
 
 def test_section_overlap_takes_ties_in_the_order_of_their_keys(same_as_sql):
     same_as_sql("section_overlap", part="SELECT 99 - k AS p_partkey, 'b' || k % 3 AS p_brand, 7 AS p_size, 900.3 AS p_retailprice FROM range(90) r(k)")
+
+
+def test_big_endian_words_of_more_than_four_bytes(same_as_sql):
+    same_as_sql("big_endian_words", part="SELECT k * 30000 AS p_partkey, CAST(k % 3 AS INTEGER) AS p_size FROM range(40) r(k)")
