@@ -28,3 +28,29 @@ def test_section_overlap_takes_ties_in_the_order_of_their_keys(same_as_sql):
 
 def test_big_endian_words_of_more_than_four_bytes(same_as_sql):
     same_as_sql("big_endian_words", part="SELECT k * 30000 AS p_partkey, CAST(k % 3 AS INTEGER) AS p_size FROM range(40) r(k)")
+
+
+def test_neighbourhoods_are_dealt_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr("cairn.sources.staging.TASK_ROWS", 500, raising=False)
+    df = entry.queries()["matcher_neighbourhoods"](spark, sf)
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count() + spark.read.parquet(f"{sf}/orders.parquet").count()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(anchor") == 1 and f", {-(-rows // 500)})" in plan
+
+
+def test_neighbourhoods_of_repeated_and_unknown_ends(spark):
+    from cairn.operators import matching
+
+    pc = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, "c"), (None, "a"), (9, "a")], "anchor long, pc_key string")
+    xbox = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x"), (2, "z"), (4, "x"), (None, "x"), (9, "x")], "anchor long, xbox_key string")
+    mapping = spark.createDataFrame([("a", "x", "exact"), ("a", "x", "exact"), ("a", "z", "fold_member_blocker"), ("b", "q", "exact"), ("b", None, "exact"), (None, "x", "exact")], "pc_key string, xbox_key string, kind string")
+    anchors = spark.createDataFrame([(k,) for k in (1, 1, 2, 3, 4, 5)], "anchor long")
+    names = ("anchor", "pc_count", "xbox_count", "closed_count", "blocked_count", "one_pc_key", "one_xbox_key", "outcome")
+    got = sorted(tuple(r[c] for c in names) for r in matching.neighbourhoods(pc, xbox, mapping, anchors).collect())
+    assert got == [
+        (1, 2, 2, 1, 0, "b", "y", "unique_residual_proposal"),
+        (2, 1, 2, 0, 2, None, None, "blocked_ambiguous_existing_relations"),
+        (3, 1, 0, 0, 0, "c", None, "missing_eligible_xbox_calls"),
+        (4, 0, 1, 0, 0, None, "x", "missing_pc_calls"),
+        (5, 0, 0, 0, 0, None, None, "missing_pc_calls"),
+    ]
