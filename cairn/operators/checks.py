@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def orphans(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows without a partner."""
-    return rows.join(other.select(*keys), keys, "left_anti")
+    """Rows without a partner; partners that repeat are one before they are dealt."""
+    return rows.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
 def unmatched(rows: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

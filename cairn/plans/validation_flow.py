@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from cairn.operators import checks
 from cairn.operators.decode import CALL_RELEVANT
 from cairn.plans.validation import check
+from cairn.sources.staging import once
 
 _ONE = ["extraction_id", "program_id"]
 
 
 def _uses(c) -> DataFrame:
     """Use assertions with the use's procedure, function and site."""
-    return c.control_flow_use_assertions.join(c.control_flow_uses, ["use_id", "program_id"])
+    return once(c, "uses_of_sites", lambda: c.control_flow_use_assertions.join(c.control_flow_uses, ["use_id", "program_id"]))
 
 
 def _summary(path: str, kind: str):

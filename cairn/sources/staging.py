@@ -33,6 +33,14 @@ def shared(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cairn-{os.getpid()}"
 
 
+def once(owner, name: str, make) -> DataFrame:
+    """The table that ``make`` gives, written for its owner the first time, as several of its steps start from it."""
+    held = owner.__dict__.setdefault("_once", {})
+    if name not in held:
+        held[name] = written(make(), name)
+    return held[name]
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

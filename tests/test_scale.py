@@ -54,3 +54,17 @@ def test_neighbourhoods_of_repeated_and_unknown_ends(spark):
         (4, 0, 1, 0, 0, None, "x", "missing_pc_calls"),
         (5, 0, 0, 0, 0, None, None, "missing_pc_calls"),
     ]
+
+
+@pytest.mark.parametrize("name", ["catalog_flow_checks", "catalog_slot_checks"])
+def test_checks_of_a_catalog_group_lines_once(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [k for k in plan.splitlines() if "Relation [" in k and "l_returnflag" in k]
+    assert len(lines) <= 3  # views that group lines are read as they were written
+
+
+def test_partners_that_repeat_are_one_before_they_are_dealt(spark):
+    from cairn.operators import checks
+
+    df = checks.orphans(spark.range(10).withColumnRenamed("id", "k"), spark.range(1000).selectExpr("id % 7 AS k"), ["k"])
+    assert sorted(r["k"] for r in df.collect()) == [7, 8, 9] and "Aggregate" in df._jdf.queryExecution().optimizedPlan().toString()
