@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import checks
 from cairn.plans.validation import _missing, _unequal, check
+from cairn.sources.staging import once
 
 RANGE = ["function_id", "source_file_id", "line_start", "column_start"]
 _missing("function_source_ranges_without_assertions", "function_source_ranges", "function_source_range_assertions", RANGE)
@@ -37,10 +38,11 @@ def vtable_slot_alignment_index_mismatch(c):
 
 
 def _at(c, side: str) -> DataFrame:
-    """Slot alignments with the slot's address group on one side, as ``slot``, and the functions there, as ``at``."""
+    """Slot alignments, by their id, with the slot's address group on one side, as ``slot``, and the functions there, as ``at``."""
     slots = c.vtable_slots.select(F.col("vtable_id").alias(f"{side}_vtable_id"), F.col("slot_index").alias(f"{side}_slot_index"), F.col("target_address_group_id").alias("slot"))
-    n = c.functions.groupBy(F.col("address_group_id").alias("slot")).agg(F.count("*").alias("at"))
-    return c.vtable_slot_alignments.drop("provenance_id", "status").join(slots, [f"{side}_vtable_id", f"{side}_slot_index"]).join(n, "slot", "left").withColumn("at", F.coalesce("at", F.lit(0)))
+    n = once(c, "functions_at", lambda: c.functions.groupBy(F.col("address_group_id").alias("slot")).agg(F.count("*").alias("at")))
+    own = c.vtable_slot_alignments.select("slot_alignment_id", "hypothesis_set_id", f"{side}_vtable_id", f"{side}_slot_index")
+    return own.join(slots, [f"{side}_vtable_id", f"{side}_slot_index"]).join(n, "slot", "left").select("slot_alignment_id", "hypothesis_set_id", "slot", F.coalesce("at", F.lit(0)).alias("at"))
 
 
 def _ends(c, rows: DataFrame, side: str) -> DataFrame:
@@ -60,12 +62,13 @@ def _misnamed(rows: DataFrame, side: str) -> DataFrame:
 
 
 def _pc(c) -> DataFrame:
-    return _at(c, "pc").join(c.match_hypothesis_sets.select("hypothesis_set_id", "pc_function_id", "pc_target_id"), "hypothesis_set_id")
+    return once(c, "pc_ends_of_slots", lambda: _at(c, "pc").join(c.match_hypothesis_sets.select("hypothesis_set_id", "pc_function_id", "pc_target_id"), "hypothesis_set_id"))
 
 
 def _scalar(c) -> DataFrame:
     a = c.match_hypothesis_alternatives.select("hypothesis_set_id", "claim_id")
-    return _at(c, "xbox").join(a, "hypothesis_set_id").join(c.match_claims.select("claim_id", "xbox_function_id", "xbox_target_id"), "claim_id")
+    a = a.join(c.match_claims.select("claim_id", "xbox_function_id", "xbox_target_id"), "claim_id").drop("claim_id")
+    return once(c, "xbox_ends_of_slots", lambda: _at(c, "xbox").join(a, "hypothesis_set_id"))
 
 
 def _folds(c) -> DataFrame:
