@@ -82,3 +82,13 @@ def test_matcher_stores_and_deals_no_content_ids(spark, sf, monkeypatch, name):
     df = entry.queries()[name](spark, sf)
     assert {n for n, t in stored.items() if t.where(F.to_json(F.struct(*t.columns)).contains(":sha256:")).count()} == {"offers"}
     assert not df.isEmpty()
+
+
+def test_slot_maps_deal_a_common_ancestor_in_blocks(spark, sf, monkeypatch):
+    query = entry.queries()["primary_slot_maps"]
+    want = sorted(map(tuple, query(spark, sf).collect()))
+    monkeypatch.setattr("cairn.sources.staging.TASK_ROWS", 25, raising=False)
+    df = query(spark, sf)
+    assert sorted(map(tuple, df.collect())) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [ancestor" in plan and "block" in plan
