@@ -92,3 +92,24 @@ def test_slot_maps_deal_a_common_ancestor_in_blocks(spark, sf, monkeypatch):
     assert sorted(map(tuple, df.collect())) == want
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [ancestor" in plan and "block" in plan
+
+
+def test_ways_over_cycles_are_counted_and_not_stored(spark, monkeypatch):
+    from itertools import permutations
+
+    from cairn.operators import alignment
+
+    stored, keep = [], alignment.written
+    for name, value in (("STARTS", 1), ("AT_ONCE", 40), ("REPEATED", 7)):
+        monkeypatch.setattr(alignment, name, value, raising=False)
+    monkeypatch.setattr(alignment, "written", lambda df, what="t": stored.append(keep(df, what)) or stored[-1])
+    offset = {(a, b): None if (a, b) == (0, 1) else (a * b) % 3 * 4 - 4 for a in range(6) for b in range(6)}
+    df = spark.createDataFrame([(f"c{a}", f"c{b}", o) for (a, b), o in offset.items()], "class_name string, base_name string, base_offset long")
+    want = []
+    for n in range(2, 7):
+        for way in permutations(range(6), n):
+            steps = [offset[e] for e in zip(way, way[1:])]
+            want.append((f"c{way[0]}", f"c{way[-1]}", None if None in steps else sum(steps)))
+    got = [(r["class_name"], r["base_name"], r["offset"]) for r in alignment.base_offsets(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(t.count() for t in stored) < len(want) / 2  # 1,950 ways
