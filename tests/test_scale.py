@@ -113,3 +113,18 @@ def test_ways_over_cycles_are_counted_and_not_stored(spark, monkeypatch):
     got = [(r["class_name"], r["base_name"], r["offset"]) for r in alignment.base_offsets(df).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert sum(t.count() for t in stored) < len(want) / 2  # 1,950 ways
+
+
+def test_ways_through_more_classes_than_a_word_has_bits(spark, monkeypatch):
+    from cairn.operators import alignment
+
+    edges = [(k, k + d, None if k % 50 == 7 else d * 4 - 8 * (k % 3)) for k in range(70) for d in (1, 3) if (d == 1 or k % 30 == 5) and k + d < 70]
+    edges += [(k + 2, k, 5) for k in (10, 40)] + [(0, 0, 1), (1, 2, 4)]
+    df = spark.createDataFrame([(f"c{a}", f"c{b}", o) for a, b, o in edges], "class_name string, base_name string, base_offset long")
+    want, ways = [], [((a, b), o) for a, b, o in edges if a != b]
+    while ways:
+        want += [(f"c{way[0]}", f"c{way[-1]}", o) for way, o in ways]
+        ways = [((*way, b), None if None in (o, p) else o + p) for way, o in ways for a, b, p in edges if a == way[-1] and b not in way]
+    monkeypatch.setattr(alignment, "STARTS", 0.1, raising=False)
+    got = [(r["class_name"], r["base_name"], r["offset"]) for r in alignment.base_offsets(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
