@@ -3,6 +3,8 @@
 import glob
 import itertools
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -250,3 +252,26 @@ def test_token_files_have_their_layout(spark, sf, tmp_path):
     assert all(any("DICTIONARY" in e for e in x[0]) for x in columns["ids"]) and all("DELTA_BINARY_PACKED" in x[0] for x in columns["offset"])
     plan = tokens.read_tokens(spark, path).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in plan.split("ReadSchema:")[-1].split(">")[0]
+
+
+def test_zones_shuffle_few_bytes_a_shingle(spark):
+    """Shingles on their way to lone ones are few bytes each, and the zones are those of a plain count."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [[word() for _ in range(120)] for _ in range(6)]
+    texts = {k: [word() for _ in range(400)] + shared[k % 6] + [word() for _ in range(300)] + (shared[(k + 1) % 6] if k % 3 else []) for k in range(300)} | {1 << 40: ["x"] * 80, -5: shared[0]}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    sets = {k: [tuple(w[i : i + 5]) for i in range(len(w) - 4)] for k, w in texts.items()}
+    count = Counter(s for x in sets.values() for s in set(x))
+    want = {}
+    for k, x in sets.items():
+        first = {}
+        for i, s in enumerate(x):
+            first.setdefault(s, i)
+        want[k] = passages.possible(len(x), np.array([i for s, i in first.items() if count[s] == 1], np.int64))
+    rows = spark.createDataFrame([(k, len(x)) for k, x in sets.items()], "doc_id long, n int")
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    got = {r["doc_id"]: [tuple(z) for z in r["zones"]] for r in passages._zones(rows, docs).collect()}
+    assert got == want and any(want.values())
+    assert sent() - before < 16 * sum(map(len, sets.values()))
